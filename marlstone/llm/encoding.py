@@ -43,6 +43,8 @@ STOPWORDS = {
     "pt": "na|sua|não|com|desconto|débito|conta|em|operação|pontos|mais",
 }
 
+CYRILLIC = ("cp1251", "koi8_r", "cp866", "mac_cyrillic")
+MARK = re.compile("[\u0300-\u036f]")
 _WORD = r"(?:[^\s]{1,24} )?[^\s]*[^\x00-\x7f][^\s]*(?: [^\s]{1,24})?"
 SEGMENT = re.compile(_WORD)
 DAMAGE = re.compile("[�\x80-\x9f]")
@@ -187,7 +189,10 @@ class Describer:
         best, chain = self.length(segment), None
         for name, cost, to in tried:
             # A swap of single-byte sets reads any accented word as another; it may not trade a known word for a rarer one.
-            if not name.startswith("utf8") and any(self.known.get(a, 0) > self.known.get(b, 0) for a, b in zip(segment.split(), to.split()) if a != b):
+            changed = [(a, b) for a, b in zip(segment.split(), to.split()) if a != b]
+            if name.endswith(CYRILLIC) and any(re.search("[A-Za-z]", a) and (not name.startswith("utf8") or MARK.search(b)) for a, b in changed):
+                continue  # a word of two scripts is a look-alike
+            if not name.startswith("utf8") and any(self.known.get(a, 0) > self.known.get(b, 0) for a, b in changed):
                 continue
             if (now := self.length(to) + cost) < best:
                 best, chain = now, name
