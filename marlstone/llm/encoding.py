@@ -91,6 +91,12 @@ def _swap(wrong: str, meant: str) -> dict[int, str]:
     return {ord(a[i]): b[i] for i in range(0x80, 256) if b[i].isprintable() and a[i].isprintable()}
 
 
+def producible() -> str:
+    """A character class of all that a wrong decoding can leave; a text without any of it is as it was sent."""
+    chars = {c for w in WRONG for c in _byte_chars(w)[0x80:]} | set(map(chr, range(0x80, 0xA0))) | {"\ufffd"}
+    return "[" + "".join(f"\\x{{{ord(c):x}}}" for c in sorted(chars)) + "]"
+
+
 def candidates(text: str) -> list[tuple[str, float, str]]:
     """(chain, cost, text with it undone) for each chain that changes ``text``; each different text once, cheapest first."""
     out: list[tuple[str, float, str]] = []
@@ -117,8 +123,9 @@ def candidates(text: str) -> list[tuple[str, float, str]]:
 def language(text: Column) -> Column:
     """A rough language by script or frequent words, only to sort phrases into dictionaries."""
     out = F.when(text.rlike("[ऀ-ॿ]{2}"), "hi").when(text.rlike("[Ѐ-ӿ]{3}"), "ru").when(text.rlike("[Ͱ-Ͽ]{3}"), "el")
+    latin = text.rlike("[À-ÿ]")
     for lang, words in STOPWORDS.items():
-        out = out.when(F.size(F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?i)\b({words})\b"), F.lit(1)))) >= 2, lang)
+        out = out.when(latin & (F.size(F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?i)\b({words})\b"), F.lit(1)))) >= 2), lang)
     return out.otherwise("en")
 
 
@@ -243,4 +250,4 @@ def garbled(messages: DataFrame, id_col: str = "id", text_col: str = "text") ->
     rows = require(messages, id_col, text_col).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     counted = phrases(rows, "text")
     kind = dict(rows.dtypes)["id"]
-    return rows.where(F.col("text").rlike(r"[^\x00-\x7f]")).mapInPandas(_mended(dictionaries(counted), words_in(counted)), f"id {kind}, chain string, restored string, lossy boolean")
+    return rows.where(F.col("text").rlike(producible())).mapInPandas(_mended(dictionaries(counted), words_in(counted)), f"id {kind}, chain string, restored string, lossy boolean")

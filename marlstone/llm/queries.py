@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm.encoding import garbled
+from marlstone.llm.personal import personal_types, redacted
 from marlstone.session import table
 
 
@@ -19,5 +20,13 @@ def p1_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return garbled(table(spark, sf_dir, "all_sms"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_restored": p1_restored}
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_types(table(spark, sf_dir, "all_sms"))
+
+
+def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return redacted(table(spark, sf_dir, "all_sms"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_restored": p1_restored, "p3_found": p3_found, "p3_redacted": p3_redacted}
 ORACLES: dict[str, str] = {}
