@@ -91,10 +91,15 @@ def _swap(wrong: str, meant: str) -> dict[int, str]:
     return {ord(a[i]): b[i] for i in range(0x80, 256) if b[i].isprintable() and a[i].isprintable()}
 
 
-def producible() -> str:
-    """A character class of all that a wrong decoding can leave; a text without any of it is as it was sent."""
-    chars = {c for w in WRONG for c in _byte_chars(w)[0x80:]} | set(map(chr, range(0x80, 0xA0))) | {"\ufffd"}
-    return "[" + "".join(f"\\x{{{ord(c):x}}}" for c in sorted(chars)) + "]"
+#: Ranges that no wrong decoding can leave (checked below); a text of these and ASCII only is as it was sent.
+UNTOUCHED = [(0x0900, 0x0DFF), (0x200B, 0x200D), (0x2060, 0x2060), (0x20B9, 0x20B9), (0x2600, 0x27BF), (0x3000, 0x30FF), (0xFE00, 0xFE0F), (0xFF00, 0xFFEF), (0x1D400, 0x1D7FF), (0x1F000, 0x1FAFF)]
+
+
+def suspicious() -> str:
+    """A native pattern for texts with at least one character that a wrong decoding can leave."""
+    left = {ord(c) for w in WRONG for c in _byte_chars(w)[0x80:]} | {0xFFFD}
+    ranges = [(a, b) for a, b in UNTOUCHED if not any(a <= c <= b for c in left)]
+    return r"[^\x00-\x7f" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges) + "]"
 
 
 def candidates(text: str) -> list[tuple[str, float, str]]:
@@ -250,4 +255,4 @@ def garbled(messages: DataFrame, id_col: str = "id", text_col: str = "text") ->
     rows = require(messages, id_col, text_col).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     counted = phrases(rows, "text")
     kind = dict(rows.dtypes)["id"]
-    return rows.where(F.col("text").rlike(producible())).mapInPandas(_mended(dictionaries(counted), words_in(counted)), f"id {kind}, chain string, restored string, lossy boolean")
+    return rows.where(F.col("text").rlike(suspicious())).mapInPandas(_mended(dictionaries(counted), words_in(counted)), f"id {kind}, chain string, restored string, lossy boolean")

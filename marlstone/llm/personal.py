@@ -12,6 +12,7 @@ import unicodedata
 from collections.abc import Iterator
 from functools import cache
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -82,23 +83,52 @@ def _spoken(m: re.Match) -> str:
     return out
 
 
-def normalised(text: str) -> Traced:
-    """``text`` without disguises, traced to its source."""
+def normalised(text: str) -> tuple[Traced, set[str]]:
+    """``text`` without disguises, traced to its source, and which patterns its words call for."""
     t = Traced(text)
     if not text.isascii():
-        t.text = text.translate(_one_to_one())  # one to one: the origins stay
+        if not _one_to_one().keys().isdisjoint(map(ord, text)):
+            t.text = text.translate(_one_to_one())  # one to one: the origins stay
         if _UNEVEN.search(t.text):
             t = t.rewrite(re.compile(f"[{INVISIBLE}]+"), "")
             t = t.rewrite(re.compile("[ﬀ-ﬆ]"), lambda m: unicodedata.normalize("NFKC", m[0]))
             t = t.rewrite(re.compile("[^\\W\\d_][̀-ͯ]+"), lambda m: unicodedata.normalize("NFC", m[0]))
-    low = t.text
-    if "@" in low or "[" in low or "(" in low or "{" in low:
+    hints = hinted(t.text)
+    if "disguise" in hints:
         t = t.rewrite(_AT, "@").rewrite(_DOT, ".")
-    if " dot " in low.lower():
         t = t.rewrite(_SPOKEN_MAIL, lambda m: re.sub("(?i) dot ", ".", re.sub("(?i) at ", "@", m[0], count=1)))
-    if _SPOKEN.search(t.text):
+    if "spoken" in hints:
         t = t.rewrite(_SPOKEN, _spoken)
-    return t
+    return t, hints
+
+
+@cache
+def _hints() -> ahocorasick.Automaton:
+    """One automaton for all the words without which a pattern cannot match; it says which patterns to try."""
+    ends = (" ", ",", ".", "\n", ":", "\t", "-")
+    words = {
+        "disguise": ["@", "[", "(", "{", " dot "],
+        "spoken": [f"{w}{e}" for w in DIGIT_WORDS for e in (" ", "-", ",")],
+        "name": ["ansprech", "nominee", "ask", "ship", "accepted", "holder", "contacto", "attn", "benefic", "rider", " hi", "contact", "reach", " to ", "\tto", "\nto", "to\n", "deposited"],
+        "honoured": [f"{a}{h}{e}" for a in (" ", "\n", "\t", "(", ":", "\"") for h in ("mr", "mrs", "ms", "miss", "dr", "prof", "herr", "frau") for e in (" ", ".", "\n", "\t")],
+        "announced": ["pan", "passport", "ssn", "tax", "proof", "with", "national", "aadhaar", "nino", "dni", "ausweis"],
+        "address": [f"{s}{e}" for s in STREETS.split("|") for e in ends] + ["cross", "main", "c/", "calle", "avda", "plaza"]
+        + ["rue", "avenue", "boulevard", "place", "chemin", "allée", "impasse", "quai", "route"]
+        + ["weg", "straße", "strasse", "allee", "platz", "gasse", "ufer", "str.", "str ", "am ", "an ", "auf ", "im ", "zum ", "zur "],
+    }
+    by: dict[str, set[str]] = {}
+    for kind, ws in words.items():
+        for w in ws:
+            by.setdefault(w, set()).add(kind)
+    out = ahocorasick.Automaton()
+    for w, kinds in by.items():
+        out.add_word(w, frozenset(kinds))
+    out.make_automaton()
+    return out
+
+
+def hinted(text: str) -> set[str]:
+    return set().union(*(kinds for _, kinds in _hints().iter(f" {text.lower()} ")))
 
 
 # ---- identifiers ----------------------------------------------------------------------------------------------------
@@ -122,11 +152,13 @@ SHOPS = "books|cafe|electronics|footwear|fuels|grocers|mart|pharmacy|sports|trav
 NOT_STREET = "to|at|for|on|by|from|in|of|and|is|was|spent|paid|towards|as|the|your|with|inr|rs|off|up|via|order|til|till|ref|bal|amt|bank|card|a|gb|min|days|hours"
 _WORDS = rf"(?:(?!(?:{NOT_STREET})\b)[^\W\d_][\w'’-]*\.?\s+){{1,3}}"
 ADDRESS = re.compile(
-    rf"(?i)(?<![\w.,₹*/:-])(?:(?:flat|apt|unit|no)\.?\s*\d+[a-z]?,?\s+)?\d{{1,4}}(?:/\d{{1,3}}|[a-z])?,?\s+{_WORDS}(?:{STREETS})\b(?!\s+(?:{SHOPS})\b)(?:,?\s+(?:apt|flat|unit)\.?\s*\d+)?"
+    rf"(?i)(?:(?<![\w.,₹*/:-])(?:(?:flat|apt|unit|no)\.?\s*\d+[a-z]?,?\s+)?\d{{1,4}}(?:/\d{{1,3}}|[a-z])?,?\s+{_WORDS}(?:{STREETS})\b(?!\s+(?:{SHOPS})\b)(?:,?\s+(?:apt|flat|unit)\.?\s*\d+)?"
     r"|\bno\.?\s*\d+,?\s+\d+(?:st|nd|rd|th)\s+(?:cross|main)\b(?:,?\s+(?:[^\W\d_][\w'’-]*\s+){1,3}layout\b)?"
     r"|(?<!\w)(?:c/|calle|avda\.?|plaza)\s*(?:[^\W\d_][\w'’-]*\s+){1,4}\d{1,4}\b(?:,?\s+\d{1,2}\s?[ºo°]\s?[a-z]\b)?"
     r"|(?<![\w.,])\d{1,4}(?:\s?bis)?,?\s+(?:rue|avenue|boulevard|place|chemin|allée|impasse|quai|route)\s+(?:[^\W\d_][\w'’-]*\s*){1,5}"
-    r"|\b(?:[^\W\d_]+(?:weg|straße|strasse|allee|platz|gasse|ufer|str\.?)|(?:am|an|auf|im|zum|zur)\s+(?:[^\W\d_]+\s+){1,2}[^\W\d_]+|(?:am|im|zum|zur)\s+[^\W\d_]+)\s+\d{1,4},?\s+\d{5}\b"
+    r"|\b(?:[^\W\d_]+(?:weg|straße|strasse|allee|platz|gasse|ufer|str\.?)|(?:am|an|auf|im|zum|zur)\s+(?:[^\W\d_]+\s+){1,2}[^\W\d_]+|(?:am|im|zum|zur)\s+[^\W\d_]+)\s+\d{1,4},?\s+\d{5}\b)"
+    # the place that follows
+    r"(?:(?:,|(?<=\d{5})|\n)\s*(?-i:[A-ZÀ-Þ][\w'-]+(?: [A-ZÀ-Þ][\w'-]+)?)(?:\s+\d{5,6}\b)?)?"
 )
 
 _HON = r"(?:mr|mrs|ms|miss|dr|prof|herr|frau|sr|sra|mme)\.?"
@@ -141,7 +173,6 @@ NAME_AFTER = re.compile(
     rf"|a/?c\s+\S+\s+to{_SEP}(?P<e>{NAME})(?=\s+on\b)|from{_SEP}(?P<f>{NAME})(?=\s+deposited\b))"
     rf"|(?:^|(?<=[\s\"“.]))(?P<g>{NAME})(?=\s+asked\s+for\s+you\b)"
 )
-NAME_HINT = re.compile(r"(?i)ansprech|nominee|ask\s+for|ship\s+to|accepted|holder|contacto|attn|benefic|rider|\bhi\b|contact|reach\b|a/?c\s+\S+\s+to\b|deposited|asked")
 HONOURED = re.compile(rf"\b(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau)\.?\s+[^\W\d_a-z][^\W\d_]+(?:[-'’][^\W\d_]+)?")
 SENDER_NAME = re.compile(rf"(?i)\s*(?:{_HON}\s+[^\W\d_][\w'’-]+|[^\W\d_][\w'’-]+,\s+[^\W\d_][\w'’-]+|[^\W\d_]\.\s*[^\W\d_][\w'’-]+|[^\W\d_][\w'’-]+\s+(?:[^\W\d_]\.?\s+)?[^\W\d_][\w'’-]+)\s*")
 #: Brand codes: two letters, a separator, then capitals or digits.
@@ -150,7 +181,7 @@ BRAND_CODE = re.compile(r"(?i)\s*[a-z]{2}\s*[-_ ]\s*[a-z0-9]{4,8}\s*")
 
 def identifiers(text: str, sender: bool = False) -> list[tuple[int, int, str]]:
     """Spans in ``text`` itself with their type, in order, not overlapping; the longer wins where two would."""
-    t = normalised(text)
+    t, hints = normalised(text)
     s, found = t.text, []
     digits = any(c.isdigit() for c in s) if sender else True
     if "@" in s:
@@ -162,15 +193,18 @@ def identifiers(text: str, sender: bool = False) -> list[tuple[int, int, str]]:
                 found.append((len(s) - len(s.lstrip()), len(s.rstrip()), "phone"))
         else:
             found += [(m.start(), m.end(), "identity_number") for m in ID_SHAPES.finditer(s)]
-            found += [(*m.span(1), "identity_number") for m in ID_ANNOUNCED.finditer(s)]
-            found += [(m.start(), m.end(), "street_address") for m in ADDRESS.finditer(s)]
+            if "announced" in hints:
+                found += [(*m.span(1), "identity_number") for m in ID_ANNOUNCED.finditer(s)]
+            if "address" in hints:
+                found += [(m.start(), m.end(), "street_address") for m in ADDRESS.finditer(s)]
     if sender:
         if not found and not digits and not BRAND_CODE.fullmatch(s) and SENDER_NAME.fullmatch(s):
             found.append((len(s) - len(s.lstrip()), len(s.rstrip()), "name"))
     else:
-        if NAME_HINT.search(s):
+        if "name" in hints:
             found += [(*m.span(m.lastgroup), "name") for m in NAME_AFTER.finditer(s)]
-        found += [(m.start(), m.end(), "name") for m in HONOURED.finditer(s)]
+        if "honoured" in hints:
+            found += [(m.start(), m.end(), "name") for m in HONOURED.finditer(s)]
     out, end = [], -1
     for a, b, kind in sorted(found, key=lambda x: (x[0], -x[1])):
         if a >= end:
