@@ -219,16 +219,24 @@ def undo(text: str, chain: str) -> str:
     return text
 
 
+def chains_of(d: Describer, text: str) -> list[str]:
+    """The chains of ``text``, most often one or none; page-long texts are looked at in pieces, so that no cache entry is long."""
+    key = re.sub("[0-9]", "0", "\n".join(SEGMENT.findall(text)))
+    return [c for k in range(0, max(1, len(key)), 2000) if (c := d.choose(key[k : k + 2000]))]
+
+
+def chain_of(d: Describer, text: str) -> bool:
+    """Whether ``text`` is garbled."""
+    return bool(DAMAGE.search(text) or chains_of(d, text))
+
+
 def _mended(content: dict[str, bytes], known: dict[str, int]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         d = Describer(content, known)
         for b in batches:
             ids, chains, texts, lost = [], [], [], []
             for i, t in zip(b["id"], b["text"]):
-                key = re.sub("[0-9]", "0", "\n".join(SEGMENT.findall(t)))
-                # A page-long text is looked at in pieces, so that one cache entry stays small.
-                pieces = [key] if len(key) <= 2000 else [key[k : k + 2000] for k in range(0, len(key), 2000)]
-                found = [c for p in pieces if (c := d.choose(p))]
+                found = chains_of(d, t)
                 if found:
                     to = t
                     for c in dict.fromkeys(found):

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm.encoding import garbled
+from marlstone.llm.lookalikes import unified
 from marlstone.llm.personal import personal_types, redacted
 from marlstone.session import table
 
@@ -28,5 +29,13 @@ def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redacted(table(spark, sf_dir, "all_sms"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_restored": p1_restored, "p3_found": p3_found, "p3_redacted": p3_redacted}
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unified(table(spark, sf_dir, "all_sms")).select("id")
+
+
+def p4_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unified(table(spark, sf_dir, "all_sms"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_restored": p1_restored, "p3_found": p3_found, "p3_redacted": p3_redacted, "p4_found": p4_found, "p4_unified": p4_unified}
 ORACLES: dict[str, str] = {}
