@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlstone.llm.copies import copies
 from marlstone.llm.encoding import garbled
 from marlstone.llm.lookalikes import unified
 from marlstone.llm.personal import personal_types, redacted
@@ -37,5 +38,9 @@ def p4_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unified(table(spark, sf_dir, "all_sms"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_restored": p1_restored, "p3_found": p3_found, "p3_redacted": p3_redacted, "p4_found": p4_found, "p4_unified": p4_unified}
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return copies(table(spark, sf_dir, "all_sms"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_restored": p1_restored, "p3_found": p3_found, "p3_redacted": p3_redacted, "p4_found": p4_found, "p4_unified": p4_unified, "p5_found": p5_found}
 ORACLES: dict[str, str] = {}
