@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from marlstone.llm.copies import copies
 from marlstone.llm.encoding import garbled
 from marlstone.llm.lookalikes import unified
+from marlstone.llm.pairs import defects, labelled
 from marlstone.llm.personal import personal_types, redacted
 from marlstone.session import table
 
@@ -42,5 +43,15 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copies(table(spark, sf_dir, "all_sms"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_restored": p1_restored, "p3_found": p3_found, "p3_redacted": p3_redacted, "p4_found": p4_found, "p4_unified": p4_unified, "p5_found": p5_found}
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return defects(table(spark, sf_dir, "samples"), table(spark, sf_dir, "gold"))
+
+
+def p6_by_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many samples of each run have each defect, by field."""
+    found = labelled(table(spark, sf_dir, "samples"), table(spark, sf_dir, "gold"))
+    return found.join(table(spark, sf_dir, "samples").select("sample_id", "run_id"), "sample_id").groupBy("run_id", "field", "defect").agg(F.countDistinct("sample_id").alias("n"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_restored": p1_restored, "p3_found": p3_found, "p3_redacted": p3_redacted, "p4_found": p4_found, "p4_unified": p4_unified, "p5_found": p5_found, "p6_found": p6_found, "p6_by_run": p6_by_run}
 ORACLES: dict[str, str] = {}
