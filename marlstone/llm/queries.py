@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from marlstone.llm.copies import copies
 from marlstone.llm.encoding import garbled
+from marlstone.llm.leaks import leaks, proximity
 from marlstone.llm.lookalikes import unified
+from marlstone.llm.packing import fill, packed
 from marlstone.llm.pairs import defects, labelled
 from marlstone.llm.personal import personal_types, redacted
 from marlstone.session import table
@@ -53,5 +55,29 @@ def p6_by_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(table(spark, sf_dir, "samples").select("sample_id", "run_id"), "sample_id").groupBy("run_id", "field", "defect").agg(F.countDistinct("sample_id").alias("n"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_restored": p1_restored, "p3_found": p3_found, "p3_redacted": p3_redacted, "p4_found": p4_found, "p4_unified": p4_unified, "p5_found": p5_found, "p6_found": p6_found, "p6_by_run": p6_by_run}
-ORACLES: dict[str, str] = {}
+def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "context_windows"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that the packing had to split: one row for each capacity."""
+    return p7_packed(spark, sf_dir).where("n_pieces > 1 AND piece = 0").select("doc_id", "window_id")
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill(p7_packed(spark, sf_dir), table(spark, sf_dir, "context_windows"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "gold"))
+
+
+def p8_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return proximity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "gold"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_restored": p1_restored, "p3_found": p3_found, "p3_redacted": p3_redacted, "p4_found": p4_found, "p4_unified": p4_unified, "p5_found": p5_found, "p6_found": p6_found, "p6_by_run": p6_by_run,
+    "p7_found": p7_found, "p7_packed": p7_packed, "p7_fill": p7_fill, "p8_found": p8_found, "p8_matches": p8_matches}
+ORACLES: dict[str, str] = {
+    "p7_found": "SELECT doc_id, window_id FROM documents, context_windows WHERE octet_length(encode(text)) > n_ctx",
+}
