@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm.copies import copies
+from marlstone.llm.cuts import by_source, cut
 from marlstone.llm.encoding import garbled
 from marlstone.llm.leaks import leaks, proximity
 from marlstone.llm.lookalikes import unified
@@ -76,8 +77,16 @@ def p8_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return proximity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "gold"))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut(table(spark, sf_dir, "documents")).select("doc_id")
+
+
+def p9_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return by_source(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_restored": p1_restored, "p3_found": p3_found, "p3_redacted": p3_redacted, "p4_found": p4_found, "p4_unified": p4_unified, "p5_found": p5_found, "p6_found": p6_found, "p6_by_run": p6_by_run,
-    "p7_found": p7_found, "p7_packed": p7_packed, "p7_fill": p7_fill, "p8_found": p8_found, "p8_matches": p8_matches}
+    "p7_found": p7_found, "p7_packed": p7_packed, "p7_fill": p7_fill, "p8_found": p8_found, "p8_matches": p8_matches, "p9_found": p9_found, "p9_by_source": p9_by_source}
 ORACLES: dict[str, str] = {
     "p7_found": "SELECT doc_id, window_id FROM documents, context_windows WHERE octet_length(encode(text)) > n_ctx",
 }
