@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marlstone.plans import preparation
+from marlstone.plans import evaluation, messages, preparation
 
-QUERIES = {**preparation.QUERIES}
-ORACLES = {**preparation.ORACLES}
+QUERIES = {**preparation.QUERIES, **messages.QUERIES, **evaluation.QUERIES}
+ORACLES = {**preparation.ORACLES, **messages.ORACLES, **evaluation.ORACLES}
