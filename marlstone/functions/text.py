@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -20,6 +22,11 @@ def matches(text: Column, pattern: str, dotall: bool = False) -> Column:
     return F.coalesce(text.rlike(regex(pattern, dotall)), F.lit(False))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once, however often ``use`` names it; keeps generated code small."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def strip(text: Column) -> Column:
     """Without white space of any kind at either end."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from marlstone.functions import patterns as P
-from marlstone.functions.text import first_match, matches, regex, strip
+from marlstone.functions.text import first_match, let, matches, regex, strip
 
 RECORD = "struct<amount:double,counterparty:string,date:string,type:string,account:string>"
 
@@ -26,7 +26,10 @@ def date(text: Column) -> Column:
 
     An unknown month name leaves the text as it is.
     """
-    raw = F.regexp_replace(strip(text), r"\.+$", "")
+    return let(F.regexp_replace(strip(text), r"\.+$", ""), _day_month_year)
+
+
+def _day_month_year(raw: Column) -> Column:
     g = lambda p, k: F.regexp_extract(raw, f"(?U){p}", k)
     day = lambda p, k: F.lpad(g(p, k), 2, "0")
     hit = lambda p: raw.rlike(f"(?U){p}")
@@ -64,17 +67,22 @@ def record_of(text: Column, name: Column) -> Column:
     """
     pattern = _lookup(name, {n: regex(p, dotall=True) for n, p, *_ in P.EXTRACTORS})
     group = lambda k: F.call_function("regexp_extract", text, pattern, _lookup(name, {n: g[k] for n, _, _, g in P.EXTRACTORS}))
-    found = strip(group(2))
+    kind = _lookup(name, {n: k for n, _, k, _ in P.EXTRACTORS})
+    nobody = _lookup(name, {n: g[2] for n, _, _, g in P.EXTRACTORS}) == 0
+    read = F.struct(name.alias("name"), kind.alias("kind"), nobody.alias("nobody"), *(group(k).alias(f"g{k}") for k in range(4)))
+    return F.when(name.isNotNull() & F.rlike(text, pattern), let(read, _record))
+
+
+def _record(r: Column) -> Column:
+    found = strip(r["g2"])
     who = (
-        F.when(_lookup(name, {n: g[2] for n, _, _, g in P.EXTRACTORS}) == 0, F.lit(None).cast("string"))
-        .when(name == "hdfc_credit_alert", F.regexp_replace(F.regexp_replace(found, r"\)+$", ""), r"(?iUds)\s*\(UPI.*", ""))
-        .when(name == "hdfc_neft_deposit", strip(F.try_element_at(F.split(group(2), "-"), F.lit(2))))
-        .when(name == "icici_debited", F.regexp_replace(found, r"\.+$", ""))
+        F.when(r["nobody"], F.lit(None).cast("string"))
+        .when(r["name"] == "hdfc_credit_alert", F.regexp_replace(F.regexp_replace(found, r"\)+$", ""), r"(?iUds)\s*\(UPI.*", ""))
+        .when(r["name"] == "hdfc_neft_deposit", strip(F.try_element_at(F.split(r["g2"], "-"), F.lit(2))))
+        .when(r["name"] == "icici_debited", F.regexp_replace(found, r"\.+$", ""))
         .otherwise(found)
     )
-    kind = _lookup(name, {n: k for n, _, k, _ in P.EXTRACTORS})
-    record = F.struct(amount(group(0)).alias("amount"), who.alias("counterparty"), date(group(3)).alias("date"), kind.alias("type"), strip(group(1)).alias("account"))
-    return F.when(name.isNotNull() & F.rlike(text, pattern), record)
+    return F.struct(amount(r["g0"]).alias("amount"), who.alias("counterparty"), date(r["g3"]).alias("date"), r["kind"].alias("type"), strip(r["g1"]).alias("account"))
 
 
 def extractor(text: Column, name: str) -> Column:
