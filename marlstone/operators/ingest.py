@@ -26,11 +26,15 @@ def iso_time(text: Column) -> Column:
 
 
 def attributed_body(blob: Column) -> Column:
-    """The text inside an archived attributed string; null where the markers or a length are missing.
+    """The text of ``attributed_bytes``; bytes that are no UTF-8 become replacement characters."""
+    return F.make_valid_utf8(attributed_bytes(blob).cast("string"))
 
-    One byte of length below 0x80, or 0x81 with two, or 0x82 with four bytes, least first. Bytes that are no UTF-8 become
-    replacement characters; a blob shorter than its length gives what is there; one that ends before its length gives
-    null.
+
+def attributed_bytes(blob: Column) -> Column:
+    """The bytes of the text inside an archived attributed string; null where the markers or a length are missing.
+
+    One byte of length below 0x80, or 0x81 with two, or 0x82 with four bytes, least first. A blob shorter than its length
+    gives what is there; one that ends before its length gives null.
     """
     s = F.decode(blob, "ISO-8859-1")
     mark = F.instr(s, "NSString")
@@ -40,7 +44,7 @@ def attributed_body(blob: Column) -> Column:
     first = byte(0)
     size = F.when(first < 0x80, first).when(first == 0x81, byte(1) + byte(2) * 256).when(first == 0x82, byte(1) + byte(2) * 256 + byte(3) * 65536 + byte(4) * 16777216)
     skip = F.when(first < 0x80, 1).when(first == 0x81, 3).otherwise(5)
-    body = F.make_valid_utf8(F.substr(blob, (at + skip).cast("int"), size.cast("int")).cast("string"))
+    body = F.substr(blob, (at + skip).cast("int"), size.cast("int"))
     return F.when((mark > 0) & (plus > 0) & size.isNotNull(), body)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marlstone.plans import evaluation, messages, preparation
+from marlstone.plans import connectors, evaluation, messages, preparation
 
-QUERIES = {**preparation.QUERIES, **messages.QUERIES, **evaluation.QUERIES}
-ORACLES = {**preparation.ORACLES, **messages.ORACLES, **evaluation.ORACLES}
+QUERIES = {**preparation.QUERIES, **messages.QUERIES, **evaluation.QUERIES, **connectors.QUERIES}
+ORACLES = {**preparation.ORACLES, **messages.ORACLES, **evaluation.ORACLES, **connectors.ORACLES}

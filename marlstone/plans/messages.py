@@ -91,12 +91,30 @@ def fn6(spark, d):
     return table(spark, d, "message").where("attributedbody IS NOT NULL").select(F.col("rowid").alias("id"), I.attributed_body(F.col("attributedbody")).alias("text"))
 
 
+_REST = "regexp_extract(hex(attributedbody), '^(?:[0-9A-F]{2})*?4E53537472696E67((?:[0-9A-F]{2})*)$', 1)"
+_AFTER = f"regexp_extract({_REST}, '^(?:[0-9A-F]{{2}})*?012B((?:[0-9A-F]{{2}})*)$', 1)"
+_BYTE = lambda k: f"try_cast('0x' || substr(h, {2 * k + 1}, 2) AS BIGINT)"
+_SIZE = f"CASE WHEN {_BYTE(0)} < 128 THEN {_BYTE(0)} WHEN {_BYTE(0)} = 129 THEN {_BYTE(1)} + 256 * {_BYTE(2)} WHEN {_BYTE(0)} = 130 THEN {_BYTE(1)} + 256 * {_BYTE(2)} + 65536 * {_BYTE(3)} + 16777216 * {_BYTE(4)} END"
+_SKIP = f"CASE {_BYTE(0)} WHEN 129 THEN 6 WHEN 130 THEN 10 ELSE 2 END"
+_BODY = f"(SELECT rowid, date, text, CASE WHEN length(h) > 0 AND ({_SIZE}) IS NOT NULL THEN substr(h, {_SKIP} + 1, 2 * ({_SIZE})) END AS body FROM (SELECT *, {_AFTER} AS h FROM message))"
+
+
+@register("fn6_attributed_bytes", f"SELECT rowid AS id, body FROM {_BODY} AS b WHERE body IS NOT NULL")
+def fn6_bytes(spark, d):
+    m = table(spark, d, "message").select(F.col("rowid").alias("id"), F.hex(I.attributed_bytes(F.col("attributedbody"))).alias("body"))
+    return m.where("body IS NOT NULL")
+
+
 @register("flt5_exported")
 def flt5(spark, d):
     return I.exported(table(spark, d, "message"), table(spark, d, "handle"))
 
 
-@register("agg10_provenance")
+@register(
+    "agg10_provenance",
+    "WITH x AS (SELECT coalesce(" + strip("text") + f", '') <> '' AS plain, body IS NOT NULL AND NOT regexp_matches(body, '^(?:09|0A|0B|0C|0D|20|C2A0)*$') AS full_blob FROM {_BODY} AS b WHERE date > 0) "
+    "SELECT count(*)::BIGINT AS total, count_if(plain)::BIGINT AS from_text, count_if(NOT plain AND full_blob)::BIGINT AS from_blob, count_if(NOT plain AND NOT full_blob)::BIGINT AS no_content FROM x",
+)
 def agg10(spark, d):
     return I.provenance(table(spark, d, "message"))
 
@@ -396,6 +414,15 @@ def set1(spark, d):
     return G.expanded(bank_messages(spark, d), table(spark, d, "gold"))
 
 
+@register("agg16_totals")
+def agg16(spark, d):
+    """How many new gold rows of either kind there are, and how many drawn transactions no extractor reads."""
+    pool = G.not_in_gold(G.candidates(bank_messages(spark, d)), table(spark, d, "gold"))
+    drawn = G.stratified(pool.where("is_txn"), G.targets(spark, P.TRANSACTION_TARGETS)).select(F.lit("transaction").alias("kind"), X.which_extractor(F.col("text")).isNotNull().alias("read"))
+    other = G.stratified(pool.where("NOT is_txn"), G.targets(spark, P.OTHER_TARGETS)).select(F.lit("other").alias("kind"), F.lit(True).alias("read"))
+    return drawn.unionByName(other).groupBy("kind").agg(F.count_if("read").alias("selected"), F.count_if(~F.col("read")).alias("failed"))
+
+
 @register("smp1_sample", f"SELECT id FROM (SELECT id, text FROM {_funnel()} AS f WHERE s5_not_collect) ORDER BY md5('42' || text || id::VARCHAR) LIMIT 20")
 def smp1(spark, d):
     final = N.funnel(table(spark, d, "all_sms")).where("s5_not_collect")
