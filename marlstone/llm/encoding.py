@@ -46,7 +46,7 @@ STOPWORDS = {
 CYRILLIC = ("cp1251", "koi8_r", "cp866", "mac_cyrillic")
 MARK = re.compile("[\u0300-\u036f]")
 _WORD = r"(?:[^\s]{1,24} )?[^\s]*[^\x00-\x7f][^\s]*(?: [^\s]{1,24})?"
-SEGMENT = re.compile(_WORD)
+SEGMENT = re.compile(_WORD, re.ASCII)
 DAMAGE = re.compile("[�\x80-\x9f]")
 
 
@@ -138,7 +138,9 @@ def phrases(rows: DataFrame, text_col: str) -> list[tuple[str, str, int]]:
     """The most frequent words with non-ASCII characters, with their neighbours, counted over all rows; digits read 0."""
     text = F.col(text_col)
     # [0-9] is one native replace; the count is combined before the shuffle.
-    each = rows.where(text.rlike(r"[^\x00-\x7f]")).select(language(text).alias("lang"), F.explode(F.regexp_extract_all(F.regexp_replace(text, "[0-9]", "0"), F.lit(f"({_WORD})"), F.lit(1))).alias("phrase"))
+    # The language is found before the rows multiply, once for each text.
+    found = rows.where(text.rlike(r"[^\x00-\x7f]")).select(language(text).alias("lang"), F.regexp_extract_all(F.regexp_replace(text, "[0-9]", "0"), F.lit(f"({_WORD})"), F.lit(1)).alias("phrases"))
+    each = found.select("lang", F.explode("phrases").alias("phrase"))
     each = each.where((F.length("phrase") <= 60) & ~F.col("phrase").rlike("[�\u0080-\u009f]"))
     return [tuple(r) for r in each.groupBy("lang", "phrase").count().orderBy(F.desc("count"), "lang", "phrase").limit(PHRASES).collect()]
 
@@ -156,13 +158,16 @@ def words_in(counted: list[tuple[str, str, int]]) -> dict[str, int]:
 def dictionaries(counted: list[tuple[str, str, int]]) -> dict[str, bytes]:
     """Dictionary content for each language out of (language, phrase, count), the most frequent last as zstandard likes it.
 
-    Phrases that a chain turns into UTF-8, or into a phrase much more frequent, are left out: they are what is looked for.
+    Phrases with a word that a chain turns into one more frequent, or into known characters as UTF-8, are left out: they are what is looked for.
     """
     total = words_in(counted)
+    undone = {w: [(c, to) for c, _, to in candidates(w)] for w in total}
+    # Characters of words that are no UTF-8 read wrongly; what only they spell was meant.
+    plain = {ch for w, to in undone.items() if not any(c.startswith("utf8") for c, _ in to) for ch in w} | set(map(chr, range(128)))
     by: dict[str, list[str]] = defaultdict(list)
     for lang, p, n in counted:
         words = [w for w in p.split(" ") if not w.isascii()]
-        if any(total.get(to, 0) >= (1 if c.startswith("utf8") else NOISE) * total[w] for w in words for c, _, to in candidates(w)):
+        if any(total.get(to, 0) >= NOISE * total[w] or c.startswith("utf8") and (total.get(to, 0) >= total[w] or {ch for ch in to if not ch.isspace()} <= plain) for w in words for c, to in undone[w]):
             continue
         by[lang].append(p)
     out = {}
@@ -234,7 +239,7 @@ def _mended(content: dict[str, bytes], known: dict[str, int]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         d = Describer(content, known)
         for b in batches:
-            ids, chains, texts, lost = [], [], [], []
+            out = []
             for i, t in zip(b["id"], b["text"]):
                 found = chains_of(d, t)
                 if found:
@@ -245,11 +250,8 @@ def _mended(content: dict[str, bytes], known: dict[str, int]):
                     to = t
                 else:
                     continue
-                ids.append(i)
-                chains.append(found[0] if found else "none")
-                texts.append(to)
-                lost.append(bool(DAMAGE.search(to)))
-            yield pd.DataFrame({"id": ids, "chain": chains, "restored": texts, "lossy": lost})
+                out.append((i, found[0] if found else "none", to, bool(DAMAGE.search(to))))
+            yield pd.DataFrame(out, columns=["id", "chain", "restored", "lossy"], dtype=object)
 
     return run
 

@@ -37,12 +37,11 @@ def item_terms(items: DataFrame, id_col: str = "item_id", text_col: str = "sms",
     return i.select("item_id", F.posexplode("w").alias("at", "token"))
 
 
-def search(documents: DataFrame, items: DataFrame, min_words: int = MIN_WORDS, item_id: str = "item_id", item_text: str = "sms") -> DataFrame:
-    """``(doc_id, item_id, begin, matched)``: words of the item found in place, for each place where it would begin.
+def search(documents: DataFrame, items: DataFrame, min_words: int = MIN_WORDS, item_id: str = "item_id", item_text: str = "sms", span: int | None = None) -> DataFrame:
+    """``(doc_id, item_id, begin, matched, longest)``: words of the item found in place, for each place where it would begin.
 
-    Only places with a run of at least ``min_words`` consecutive words, or that lie within ``SLACK`` of each other and
-    match as many together, are returned; ``longest`` is the longest run. Null and short items match nothing; repeated
-    documents repeat their matches; extra columns are ignored.
+    A place is found if ``span`` consecutive words, ``min_words`` by default, match there; ``longest`` is its longest run.
+    Null and short items match nothing; repeated documents count once; extra columns are ignored.
     """
     postings = index(documents)
     terms = written(item_terms(items, item_id, item_text, min_words), "terms")
@@ -51,11 +50,12 @@ def search(documents: DataFrame, items: DataFrame, min_words: int = MIN_WORDS, i
     hits = written(postings.join(vocabulary, "token", "left_semi"), "test-postings")
     frequency = hits.groupBy("token").agg(F.count("*").alias("n"))
     ranked = terms.join(frequency, "token", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    window = Window.partitionBy("item_id").orderBy("at").rowsBetween(0, min_words - 1)
-    # The rarest term of every run of min_words words: whichever run leaked, one of these is in it.
+    span = span or min_words
+    window = Window.partitionBy("item_id").orderBy("at").rowsBetween(0, span - 1)
+    # The rarest term of every run of span words: whichever run leaked, one of these is in it.
     rarest = F.min(F.struct("n", "at", "token")).over(window)
     size = F.max("at").over(Window.partitionBy("item_id"))
-    anchors = ranked.select("item_id", "at", rarest.alias("r"), size.alias("last")).where(F.col("at") + min_words - 1 <= F.col("last")).where("r.n > 0").select("item_id", F.col("r.at").alias("at"), F.col("r.token").alias("token")).distinct()
+    anchors = ranked.select("item_id", "at", rarest.alias("r"), size.alias("last")).where(F.col("at") + span - 1 <= F.col("last")).where("r.n > 0").select("item_id", F.col("r.at").alias("at"), F.col("r.token").alias("token")).distinct()
     begins = hits.join(bounded_broadcast(anchors), "token").select("doc_id", "item_id", (F.col("position") - F.col("at")).alias("begin")).distinct()
     begins = written(begins, "begins")
     # Intersect: each place asks for the item's tokens at their offsets.
@@ -88,9 +88,10 @@ def leaks(documents: DataFrame, items: DataFrame, min_words: int = MIN_WORDS) ->
 def proximity(documents: DataFrame, items: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``(doc_id, item_id, matched, longest)``: exact and proximity matches.
 
-    Places within ``SLACK`` words of each other, as insertions and omissions leave them, are added up.
+    Places within ``SLACK`` words of each other, as insertions and omissions leave them, are added up, if half of the words run on
+    at each.
     """
-    found = search(documents, items, min_words)
+    found = search(documents, items, min_words, span=max(2, min_words // 2))
     by = Window.partitionBy("doc_id", "item_id").orderBy("begin")
     near = found.withColumn("new", (F.col("begin") - F.lag("begin").over(by) > SLACK).cast("int")).withColumn("part", F.sum(F.coalesce("new", F.lit(0))).over(by))
     return near.groupBy("doc_id", "item_id", "part").agg(F.sum("matched").alias("matched"), F.max("longest").alias("longest")).where(F.col("matched") >= min_words).groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched"), F.max("longest").alias("longest"))

@@ -125,8 +125,11 @@ class Forms:
                     for s, to in plain.items():
                         if s != own:
                             self.by_script[s][m] = to
-                elif m and m != best:
-                    self.fixed[m] = plain.get("latin", best) if best not in ("", " ") else best
+                elif m:
+                    # Styled letters go to the plain letter, however frequent the style is.
+                    to = best if best in ("", " ") else plain.get("latin", next(iter(plain.values()), best))
+                    if m != to:
+                        self.fixed[m] = to
         self.automaton = ahocorasick.Automaton()
         for m, to in self.fixed.items():
             self.automaton.add_word(m, (len(m), to))
@@ -223,6 +226,6 @@ def unified(messages: DataFrame, id_col: str = "id", text_col: str = "text", gar
                     to = forms.rewrite(to)  # what an invisible character kept apart
                 if to != t and (garbled or not chain_of(describer, t)):
                     out.append((i, to))
-            yield pd.DataFrame(out, columns=["id", "text"])
+            yield pd.DataFrame(out, columns=["id", "text"], dtype=object)
 
     return rows.where(F.col("text").rlike(GATE)).mapInPandas(run, f"id {dict(rows.dtypes)['id']}, text string")

@@ -229,7 +229,7 @@ def _searched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             of_sender = identifiers(sender, sender=True) if sender and sender != "me" else []
             if of_text or of_sender:
                 out.append((i, redact(text, of_text) if of_text else text, redact(sender, of_sender) if of_sender else sender, sorted({k for *_, k in of_text}), sorted({k for *_, k in of_sender})))
-        yield pd.DataFrame(out, columns=["id", "text", "sender", "text_types", "sender_types"])
+        yield pd.DataFrame(out, columns=["id", "text", "sender", "text_types", "sender_types"], dtype=object)
 
 
 def redacted(messages: DataFrame, id_col: str = "id", text_col: str = "text", sender_col: str = "sender") -> DataFrame:
