@@ -47,6 +47,8 @@ CYRILLIC = ("cp1251", "koi8_r", "cp866", "mac_cyrillic")
 MARK = re.compile("[\u0300-\u036f]")
 _WORD = r"(?:[^\s]{1,24} )?[^\s]*[^\x00-\x7f][^\s]*(?: [^\s]{1,24})?"
 SEGMENT = re.compile(_WORD, re.ASCII)
+NON_ASCII_WORD = re.compile(r"[^\s]*[^\x00-\x7f][^\s]*", re.ASCII)
+ZEROS = {ord(c): "0" for c in "123456789"}
 DAMAGE = re.compile("[�\x80-\x9f]")
 
 
@@ -127,10 +129,10 @@ def candidates(text: str) -> list[tuple[str, float, str]]:
 
 def language(text: Column) -> Column:
     """A rough language by script or frequent words, only to sort phrases into dictionaries."""
-    out = F.when(text.rlike("[ऀ-ॿ]{2}"), "hi").when(text.rlike("[Ѐ-ӿ]{3}"), "ru").when(text.rlike("[Ͱ-Ͽ]{3}"), "el")
-    latin = text.rlike("[À-ÿ]")
+    # Most texts leave at the first test.
+    out = F.when(~text.rlike("[À-ÿऀ-ॿЀ-ӿͰ-Ͽ]"), "en").when(text.rlike("[ऀ-ॿ]{2}"), "hi").when(text.rlike("[Ѐ-ӿ]{3}"), "ru").when(text.rlike("[Ͱ-Ͽ]{3}"), "el")
     for lang, words in STOPWORDS.items():
-        out = out.when(latin & (F.size(F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?i)\b({words})\b"), F.lit(1)))) >= 2), lang)
+        out = out.when(F.size(F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?i)\b({words})\b"), F.lit(1)))) >= 2, lang)
     return out.otherwise("en")
 
 
@@ -140,7 +142,7 @@ def phrases(rows: DataFrame, text_col: str) -> list[tuple[str, str, int]]:
     # [0-9] is one native replace; the count is combined before the shuffle.
     # The language is found before the rows multiply, once for each text.
     found = rows.where(text.rlike(r"[^\x00-\x7f]")).select(language(text).alias("lang"), F.regexp_extract_all(F.regexp_replace(text, "[0-9]", "0"), F.lit(f"({_WORD})"), F.lit(1)).alias("phrases"))
-    each = found.select("lang", F.explode("phrases").alias("phrase"))
+    each = found.select("lang", F.explode_outer("phrases").alias("phrase"))
     each = each.where((F.length("phrase") <= 60) & ~F.col("phrase").rlike("[�\u0080-\u009f]"))
     return [tuple(r) for r in each.groupBy("lang", "phrase").count().orderBy(F.desc("count"), "lang", "phrase").limit(PHRASES).collect()]
 
@@ -197,24 +199,35 @@ class Describer:
         raw = text.encode("utf-16-le", "surrogatepass")
         return min(len(c.compress(raw)) for c in self.by) + ESCAPE * len(set(text) - self.alphabet)
 
+    @lru_cache(200_000)
+    def settled(self, word: str) -> bool:
+        """Whether no chain can be chosen for a word: none reads it as UTF-8, and every swap is vetoed by its frequency."""
+        return all(not c.startswith("utf8") and self.known.get(word, 0) > self.known.get(to, 0) for c, _, to in candidates(word))
+
     @lru_cache(200_000)
     def choose(self, segment: str) -> str | None:
         """The chain with the least description, None if that is no chain."""
-        tried = candidates(segment)
+        tried = [c for c in candidates(segment) if not self.vetoed(segment, c[0], c[2])]
         if not tried:
             return None
         best, chain = self.length(segment), None
         for name, cost, to in tried:
-            # A swap of single-byte sets reads any accented word as another; it may not trade a known word for a rarer one.
-            changed = [(a, b) for a, b in zip(segment.split(), to.split()) if a != b]
-            if name.endswith(CYRILLIC) and any(re.search("[A-Za-z]", a) and (not name.startswith("utf8") or MARK.search(b)) for a, b in changed):
-                continue  # a word of two scripts is a look-alike
-            if not name.startswith("utf8") and any(self.known.get(a, 0) > self.known.get(b, 0) for a, b in changed):
-                continue
             if (now := self.length(to) + cost) < best:
                 best, chain = now, name
         return chain
 
+    def vetoed(self, segment: str, chain: str, to: str) -> bool:
+        """Whether a chain can't be the answer whatever its length: see the rules of swaps and of look-alike words."""
+        utf8 = chain.startswith("utf8")
+        if utf8 and not chain.endswith(CYRILLIC):
+            return False
+        changed = [(a, b) for a, b in zip(segment.split(), to.split()) if a != b]
+        # A word of two scripts is a look-alike.
+        if chain.endswith(CYRILLIC) and any(re.search("[A-Za-z]", a) and (not utf8 or MARK.search(b)) for a, b in changed):
+            return True
+        # A swap of single-byte sets reads any accented word as another; it may not trade a known word for a rarer one.
+        return not utf8 and any(self.known.get(a, 0) > self.known.get(b, 0) for a, b in changed)
+
 
 def undo(text: str, chain: str) -> str:
     """``text`` with ``chain`` undone wherever it applies."""
@@ -226,7 +239,10 @@ def undo(text: str, chain: str) -> str:
 
 def chains_of(d: Describer, text: str) -> list[str]:
     """The chains of ``text``, most often one or none; page-long texts are looked at in pieces, so that no cache entry is long."""
-    key = re.sub("[0-9]", "0", "\n".join(SEGMENT.findall(text)))
+    text = text.translate(ZEROS)
+    if all(map(d.settled, NON_ASCII_WORD.findall(text))):
+        return []
+    key = "\n".join(SEGMENT.findall(text))
     return [c for k in range(0, max(1, len(key)), 2000) if (c := d.choose(key[k : k + 2000]))]
 
 
