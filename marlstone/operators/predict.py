@@ -67,7 +67,7 @@ class RulePredictor:
     _ACCOUNT = re.compile(r"(?i)((?:a/c|(?:credit |debit )?card)(?: ending)?\s*[x*]*\d{3,})")
     _OUT = re.compile(r"(?i)\b(?:debited|spent|sent|paid|withdrawn|purchase)\b")
     _IN = re.compile(r"(?i)\b(?:credited|refunded|received|deposited)\b")
-    _WHO = re.compile(r"(?:toward|into|at|beside|shop|out of|to)\s+((?:[A-ZÀ-Þ&][\w'&À-ÿ]*\s?){1,4})")
+    _WHO = re.compile(r"(?:toward|into|beside|shop|out of|at|to)\s+(?!A/[Cc])((?:[A-ZÀ-Þ&][\w'&À-ÿ]*\s?){1,4})")
 
     def __call__(self, prompt_: str) -> str:
         sms = prompt_.rpartition("Message: ")[2].removesuffix("\nAnswer:")

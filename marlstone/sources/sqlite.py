@@ -33,7 +33,7 @@ class SqliteReader(DataSourceReader):
         with self._open() as con:
             first, last = con.execute(f'SELECT min(rowid), max(rowid) FROM "{self.table}"').fetchone()
         if first is None:
-            return []
+            return [RowidRange(0, -1)]
         step = -(-(last - first + 1) // self.n)
         return [RowidRange(k, min(last, k + step - 1)) for k in range(first, last + 1, step)]
 
