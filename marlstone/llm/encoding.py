@@ -144,7 +144,9 @@ def phrases(rows: DataFrame, text_col: str) -> list[tuple[str, str, int]]:
     found = rows.where(text.rlike(r"[^\x00-\x7f]")).select(language(text).alias("lang"), F.regexp_extract_all(F.regexp_replace(text, "[0-9]", "0"), F.lit(f"({_WORD})"), F.lit(1)).alias("phrases"))
     each = found.select("lang", F.explode_outer("phrases").alias("phrase"))
     each = each.where((F.length("phrase") <= 60) & ~F.col("phrase").rlike("[�\u0080-\u009f]"))
-    return [tuple(r) for r in each.groupBy("lang", "phrase").count().orderBy(F.desc("count"), "lang", "phrase").limit(PHRASES).collect()]
+    # The filter keeps the limit off the plan's root, where each task would send its own best rows to the driver.
+    top = each.groupBy("lang", "phrase").count().orderBy(F.desc("count"), "lang", "phrase").limit(PHRASES).where("count > 0")
+    return [tuple(r) for r in top.collect()]
 
 
 def words_in(counted: list[tuple[str, str, int]]) -> dict[str, int]:
