@@ -60,7 +60,9 @@ def search(documents: DataFrame, items: DataFrame, min_words: int = MIN_WORDS, i
     begins = written(begins, "begins")
     # Intersect: each place asks for the item's tokens at their offsets.
     asked = begins.join(bounded_broadcast(terms), "item_id").select("doc_id", "item_id", "begin", "at", "token", (F.col("begin") + F.col("at")).alias("position"))
-    met = asked.join(hits, ["doc_id", "token", "position"])
+    # Frequent terms have postings in every document: only those of documents with a place to verify are moved.
+    wanted = hits.join(bounded_broadcast(begins.select("doc_id").distinct()), "doc_id", "left_semi")
+    met = asked.join(wanted, ["doc_id", "token", "position"])
     # At most as many rows in a group as the item has words.
     runs = met.groupBy("doc_id", "item_id", "begin").agg(F.array_sort(F.collect_set("at")).alias("ats"))
     return runs.select("doc_id", "item_id", "begin", F.size("ats").alias("matched"), longest_run(F.col("ats")).alias("longest"))
