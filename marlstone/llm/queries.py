@@ -87,7 +87,7 @@ def p9_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_restored": p1_restored, "p3_found": p3_found, "p3_redacted": p3_redacted, "p4_found": p4_found, "p4_unified": p4_unified, "p5_found": p5_found, "p6_found": p6_found, "p6_by_run": p6_by_run,
     "p7_found": p7_found, "p7_packed": p7_packed, "p7_fill": p7_fill, "p8_found": p8_found, "p8_matches": p8_matches, "p9_found": p9_found, "p9_by_source": p9_by_source}
-_GRAM = "SELECT DISTINCT {i}, array_to_string(w[k : k + 11], ' ') AS gram FROM (SELECT {i}, w, unnest(range(1, len(w) - 10)) AS k FROM (SELECT {i}, regexp_extract_all(lower({t}), '[\p{{L}}\p{{N}}]+') AS w FROM {s}))"
+_GRAM = r"SELECT DISTINCT {i}, array_to_string(w[k : k + 11], ' ') AS gram FROM (SELECT {i}, w, unnest(range(1, len(w) - 10)) AS k FROM (SELECT {i}, regexp_extract_all(lower({t}), '[\p{{L}}\p{{N}}]+') AS w FROM {s}))"
 _BARE = "replace(upper(regexp_replace({}, '[^\\p{{L}}\\p{{M}}\\p{{N}}\\p{{Sc}}]+', '', 'g')), 'ẞ', 'SS')".replace("\\\\", "\\")
 _LABEL = r"((?:^|[\t\n\x0b\f\r \x{85}\p{Z};,/|]+))([\p{L}\p{M}\p{Nl}]{1,12}(?:/[\p{L}\p{M}\p{Nl}]{1,3})?[\t\n\x0b\f\r \x{85}\p{Z}]*:)"
 _PARTS = f"string_split(regexp_replace(replace(text, '://', chr(2)), '{_LABEL}', chr(1) || '\\2', 'g'), chr(1))"
