@@ -30,20 +30,24 @@ def commercial(messages: DataFrame) -> DataFrame:
     return messages.where(not_own(F.col("sender"))).withColumn("sender_category", sender_category(F.col("sender"))).where(F.col("sender_category") != "Mobile Number")
 
 
-def stage_flags(text: Column, old: bool = False) -> list[Column]:
-    """The five cumulative flags; false, never null, from the first stage that fails or for a null text."""
-    there = F.coalesce(text.isNotNull(), F.lit(False))
-    s1 = matches(text, P.AMOUNT)
-    s2 = s1 & matches(text, P.ACCOUNT)
-    s3 = s2 & matches(text, P.VERB_OLD if old else P.VERB)
-    s4 = s3 & there & ~F.coalesce(text.rlike(regex(P.OTP)), F.lit(False))
-    s5 = s4 & ~F.coalesce(text.rlike(regex(P.COLLECT)), F.lit(False))
-    return [c.alias(n) for c, n in zip((s1, s2, s3, s4, s5), STAGES)]
+def stages_passed(text: Column, old: bool = False) -> Column:
+    """How many stages a text passes in a row, 0 to 5; each pattern is tried at most once, and only if all before it held.
+
+    A null text passes none.
+    """
+    found = lambda p: F.coalesce(text.rlike(regex(p)), F.lit(False))
+    fails = [~matches(text, P.AMOUNT), ~matches(text, P.ACCOUNT), ~matches(text, P.VERB_OLD if old else P.VERB), found(P.OTP), found(P.COLLECT)]
+    out = F.when(fails[0], 0)
+    for k, f in enumerate(fails[1:], 1):
+        out = out.when(f, k)
+    return out.otherwise(len(fails))
 
 
 def funnel(messages: DataFrame, old: bool = False) -> DataFrame:
-    """Commercial messages with their flags, in one projection."""
-    return commercial(messages).select("*", *stage_flags(F.col("text"), old))
+    """Commercial messages with the five cumulative flags; false, never null, from the first stage that fails."""
+    c = commercial(messages)
+    deep = c.withColumn("_passed", stages_passed(F.col("text"), old))
+    return deep.select(*c.columns, *((F.col("_passed") > k).alias(s) for k, s in enumerate(STAGES)))
 
 
 def stage_counts(flagged: DataFrame) -> DataFrame:
