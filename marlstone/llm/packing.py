@@ -7,8 +7,6 @@ is packed again in fewer shards, until one shard is left, so that open windows a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
