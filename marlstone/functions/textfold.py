@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import sys
 import unicodedata
 from functools import cache
 
@@ -56,5 +55,3 @@ def ascii_fold(col: Column, lookalikes: bool = True) -> Column:
     source, target = ascii_tables(lookalikes)
     return F.when(col.rlike(r"[^\x00-\x7f]"), F.translate(col, source, target)).otherwise(col)
 
-
-assert sys.maxunicode == 0x10FFFF

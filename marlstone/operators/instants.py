@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from datetime import datetime, timedelta, timezone
+from datetime import datetime, timedelta
 from functools import lru_cache
 from zoneinfo import ZoneInfo
 
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions.textfold import ascii_fold
-from marlstone.session import bounded_broadcast, require, scratch
+from marlstone.session import bounded_broadcast, delete_at_exit, require, scratch
 
 EPOCH = datetime(1970, 1, 1)
 APPLE_EPOCH_S = 978_307_200
@@ -239,4 +239,6 @@ def instants(
     texts = of("text", mention_in(F.col(text_col)), F.col("raw").isNotNull())
     book = InstantDictionary(spark, dictionary or scratch(spark, "instants"))
     book.update(dates).update(texts)
+    if not dictionary:
+        delete_at_exit(spark, book.path)
     return book.resolve(dates.unionByName(texts)).where("utc_us IS NOT NULL").select("id", "field", "utc_us")

@@ -10,10 +10,9 @@ from pyspark.sql import functions as F
 
 from marlstone.operators import answers as A
 from marlstone.operators import funnel as N
-from marlstone.operators import ingest as I
 from marlstone.operators import runs as R
 from marlstone.plans.messages import _counts, _funnel
-from marlstone.session import scratch, shared_dir, table
+from marlstone.session import scratch, table
 from marlstone.sources import files, gguf, sqlite
 from marlstone.streaming import funnel as stream
 
@@ -167,5 +166,3 @@ def stream_funnel_counts(spark, d):
     stream.append(stream.flagged(stream.arriving(spark, path, schema, glob)), out, checkpoint).awaitTermination()
     return N.stage_counts(spark.read.parquet(out))
 
-
-assert I and shared_dir

@@ -6,11 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import patterns as P
-from marlstone.functions import text as T
 from marlstone.operators import answers as A
 from marlstone.operators import predict as M
 from marlstone.operators import runs as R
-from marlstone.plans.sqltext import collapse, lit, re2, strip
+from marlstone.plans.sqltext import collapse, lit, strip
 from marlstone.session import table
 
 QUERIES: dict = {}
@@ -405,5 +404,3 @@ def src10(spark, d):
     """SRC10's choice of the smallest, for each source."""
     return table(spark, d, "documents").groupBy("source").agg(F.min_by("doc_id", F.struct("n_chars", "doc_id")).alias("doc_id"))
 
-
-assert T and re2

@@ -15,7 +15,7 @@ from marlstone.operators import goldset as G
 from marlstone.operators import ingest as I
 from marlstone.operators import quality as Q
 from marlstone.plans.fixtures import BANK_SQL, bank_messages
-from marlstone.plans.sqltext import NOT_WS, has, lit, re2, strip
+from marlstone.plans.sqltext import has, lit, re2, strip
 from marlstone.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -436,5 +436,3 @@ def shf1(spark, d):
     key = G.draw_key("7", F.col("sms"), F.col("item_id"))
     return table(spark, d, "gold").select("item_id", F.row_number().over(Window.orderBy(key)).alias("place"))
 
-
-assert NOT_WS

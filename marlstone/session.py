@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -49,11 +48,18 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/marlstone/{name}-{uuid.uuid4().hex}"
 
 
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    """The driver's file system removes ``path`` when the driver ends."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+
+
 def written(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
     path = scratch(df.sparkSession, name)
     writer = df.write.mode("overwrite")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    delete_at_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -74,5 +80,3 @@ def parallelism(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
-def env_path(name: str, default: str) -> str:
-    return os.environ.get(name, default)
