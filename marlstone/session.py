@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,3 +83,22 @@ def parallelism(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers, once for each application, unless they find it by PYTHONPATH.
+
+    The archive is only the source that the driver hands out from; workers keep copies of their own.
+    """
+    root, app = Path(__file__).resolve().parents[1], spark.sparkContext.applicationId
+    if app in _shipped or any(p and Path(p).resolve() == root for p in os.environ.get("PYTHONPATH", "").split(os.pathsep)):
+        return
+    at = Path(tempfile.mkdtemp(prefix="marlstone-ship-")) / "marlstone.zip"
+    with zipfile.ZipFile(at, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted((root / "marlstone").rglob("*.py")):
+            z.write(p, p.relative_to(root))
+    spark.sparkContext.addPyFile(str(at))
+    _shipped.add(app)
