@@ -18,11 +18,12 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.session import require
+from marlstone.session import require, written
 
 #: Dictionary sizes are bounded: so many phrases, the most frequent over all rows, and so many bytes for each language.
 PHRASES = 4000
 DICTIONARY_BYTES = 64_000
+WORDS = 20_000
 LEVEL = 9
 #: Bytes that a chain costs; a swap of single-byte sets explains any accented letter, so it must save more.
 COST = {"utf8": 1.0, "utf8 twice": 2.0, "single": 4.0}
@@ -136,42 +137,36 @@ def language(text: Column) -> Column:
     return out.otherwise("en")
 
 
-def phrases(rows: DataFrame, text_col: str) -> list[tuple[str, str, int]]:
-    """The most frequent words with non-ASCII characters, with their neighbours, counted over all rows; digits read 0."""
+def phrases(rows: DataFrame, text_col: str) -> tuple[list[tuple[str, str, int]], dict[str, int]]:
+    """(language, phrase, count) of the most frequent words with non-ASCII characters and their neighbours, and the counts
+    of the most frequent such words alone; both are counted over all rows; digits read 0.
+    """
     text = F.col(text_col)
-    # [0-9] is one native replace; the count is combined before the shuffle.
     # The language is found before the rows multiply, once for each text.
     found = rows.where(text.rlike(r"[^\x00-\x7f]")).select(language(text).alias("lang"), F.regexp_extract_all(F.regexp_replace(text, "[0-9]", "0"), F.lit(f"({_WORD})"), F.lit(1)).alias("phrases"))
     each = found.select("lang", F.explode_outer("phrases").alias("phrase"))
-    each = each.where((F.length("phrase") <= 60) & ~F.col("phrase").rlike("[�\u0080-\u009f]"))
-    # The filter keeps the limit off the plan's root, where each task would send its own best rows to the driver.
-    top = each.groupBy("lang", "phrase").count().orderBy(F.desc("count"), "lang", "phrase").limit(PHRASES).where("count > 0")
-    return [tuple(r) for r in top.collect()]
-
-
-def words_in(counted: list[tuple[str, str, int]]) -> dict[str, int]:
-    """How often each word with non-ASCII characters occurs in these phrases."""
-    total: dict[str, int] = defaultdict(int)
-    for _, p, n in counted:
-        for w in p.split(" "):
-            if not w.isascii():
-                total[w] += n
-    return dict(total)
+    each = each.where((F.length("phrase") <= 60) & ~F.col("phrase").rlike("[\ufffd\u0080-\u009f]"))
+    counted = written(each.groupBy("lang", "phrase").count(), "phrases")
+    words = counted.select(F.explode_outer(F.split("phrase", " ")).alias("word"), "count").where(F.col("word").rlike(r"[^\x00-\x7f]")).groupBy("word").agg(F.sum("count").alias("count"))
+    # The filters keep the limits off the plans' roots, where each task would send its own best rows to the driver.
+    top = counted.orderBy(F.desc("count"), "lang", "phrase").limit(PHRASES).where("count > 0").select("lang", "phrase", "count")
+    known = words.orderBy(F.desc("count"), "word").limit(WORDS).where("count > 0")
+    return [tuple(r) for r in top.collect()], {r["word"]: r["count"] for r in known.collect()}
 
 
-def dictionaries(counted: list[tuple[str, str, int]]) -> dict[str, bytes]:
+def dictionaries(counted: list[tuple[str, str, int]], total: dict[str, int]) -> dict[str, bytes]:
     """Dictionary content for each language out of (language, phrase, count), the most frequent last as zstandard likes it.
 
     Phrases with a word that a chain turns into one more frequent, or into known characters as UTF-8, are left out: they are what is looked for.
     """
-    total = words_in(counted)
-    undone = {w: [(c, to) for c, _, to in candidates(w)] for w in total}
+    seen = {w for _, p, _ in counted for w in p.split(" ") if not w.isascii()}
+    undone = {w: [(c, to) for c, _, to in candidates(w)] for w in seen}
     # Characters of words that are no UTF-8 read wrongly; what only they spell was meant.
     plain = {ch for w, to in undone.items() if not any(c.startswith("utf8") for c, _ in to) for ch in w} | set(map(chr, range(128)))
     by: dict[str, list[str]] = defaultdict(list)
     for lang, p, n in counted:
         words = [w for w in p.split(" ") if not w.isascii()]
-        if any(total.get(to, 0) >= NOISE * total[w] or c.startswith("utf8") and (total.get(to, 0) >= total[w] or {ch for ch in to if not ch.isspace()} <= plain) for w in words for c, to in undone[w]):
+        if any(total.get(to, 0) >= NOISE * total.get(w, 1) or c.startswith("utf8") and (total.get(to, 0) >= total.get(w, 1) or {ch for ch in to if not ch.isspace()} <= plain) for w in words for c, to in undone[w]):
             continue
         by[lang].append(p)
     out = {}
@@ -227,8 +222,9 @@ class Describer:
         # A word of two scripts is a look-alike.
         if chain.endswith(CYRILLIC) and any(re.search("[A-Za-z]", a) and (not utf8 or MARK.search(b)) for a, b in changed):
             return True
-        # A swap of single-byte sets reads any accented word as another; it may not trade a known word for a rarer one.
-        return not utf8 and any(self.known.get(a, 0) > self.known.get(b, 0) for a, b in changed)
+        # A swap of single-byte sets reads any accented word as another; it has to lead to a known word, and may not trade
+        # a known word for a rarer one.
+        return not utf8 and (not any(b in self.known for _, b in changed) or any(self.known.get(a, 0) > self.known.get(b, 0) for a, b in changed))
 
 
 def undo(text: str, chain: str) -> str:
@@ -281,6 +277,6 @@ def garbled(messages: DataFrame, id_col: str = "id", text_col: str = "text") ->
     never garbled; repeated rows give repeated results; a tie leaves the text unchanged; other columns are ignored.
     """
     rows = require(messages, id_col, text_col).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    counted = phrases(rows, "text")
+    counted, known = phrases(rows, "text")
     kind = dict(rows.dtypes)["id"]
-    return rows.where(F.col("text").rlike(suspicious())).mapInPandas(_mended(dictionaries(counted), words_in(counted)), f"id {kind}, chain string, restored string, lossy boolean")
+    return rows.where(F.col("text").rlike(suspicious())).mapInPandas(_mended(dictionaries(counted, known), known), f"id {kind}, chain string, restored string, lossy boolean")

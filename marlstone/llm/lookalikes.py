@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.functions.textfold import INVISIBLE, LOOKALIKES, SPACES
-from marlstone.llm.encoding import Describer, chain_of, dictionaries, phrases, words_in
+from marlstone.llm.encoding import Describer, chain_of, dictionaries, phrases
 from marlstone.session import require
 
 #: Compatibility forms that are only another style of the same letter; superscripts, fractions and the like are not.
@@ -218,8 +218,8 @@ def unified(messages: DataFrame, id_col: str = "id", text_col: str = "text", gar
     """
     rows = require(messages, id_col, text_col).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
     forms = Forms(unit_counts(rows))
-    counted = [] if garbled else phrases(rows, "text")
-    content, known = dictionaries(counted), words_in(counted)
+    counted, known = ([], {}) if garbled else phrases(rows, "text")
+    content = dictionaries(counted, known)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         describer = Describer(content, known)
