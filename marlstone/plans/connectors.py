@@ -12,7 +12,7 @@ from marlstone.operators import answers as A
 from marlstone.operators import funnel as N
 from marlstone.operators import runs as R
 from marlstone.plans.messages import _counts, _funnel
-from marlstone.session import scratch, table
+from marlstone.session import put, scratch, table
 from marlstone.sources import files, gguf, sqlite
 from marlstone.streaming import funnel as stream
 
@@ -83,15 +83,6 @@ def _exists(spark, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def _write_text(spark, path: str, content: bytes) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
-    try:
-        out.write(bytearray(content))
-    finally:
-        out.close()
-
-
 @register("src6_run_directories", "SELECT replace(model_id, '/', '__') || '_' || run_id AS slug, quant, n_ctx FROM runs WHERE run_id IN (SELECT run_id FROM samples) AND run_id <> 'run02'")
 def src6(spark, d):
     """SRC6, SET4, JOIN4: results below two roots; an unreadable result and one without samples are left out."""
@@ -102,9 +93,9 @@ def src6(spark, d):
     for k, r in enumerate(runs.orderBy("run_id").collect()):  # a configuration table of a few dozen rows
         at = f"{roots[k % 2]}/{r['model_id'].replace('/', '__')}_{r['run_id']}"
         body = {"model_id": r["model_id"], "quant": r["quant"], "n_ctx": r["n_ctx"], "metrics": {"full_match_accuracy,none": 0.5}}
-        _write_text(spark, f"{at}/results_{r['run_id']}.json", (json.dumps(body) if r["run_id"] != "run02" else '{"model_id": ').encode())
+        put(spark, f"{at}/results_{r['run_id']}.json", (json.dumps(body) if r["run_id"] != "run02" else '{"model_id": ').encode())
         if r["run_id"] in with_samples:
-            _write_text(spark, f"{at}/samples_{r['run_id']}.jsonl", b"{}\n")
+            put(spark, f"{at}/samples_{r['run_id']}.jsonl", b"{}\n")
     return files.read_runs(spark, *roots).select("slug", "quant", "n_ctx")
 
 
@@ -118,7 +109,7 @@ def src1(spark, d):
     con.executemany("INSERT INTO handle VALUES (?, ?)", rows)
     con.commit()
     at = scratch(spark, "handles") + ".db"
-    _write_text(spark, at, con.serialize())
+    put(spark, at, con.serialize())
     return spark.read.format("sqlite").schema("rowid bigint, id string").options(path=at.replace("file://", "").replace("file:", ""), dbtable="handle", partitions="4").load()
 
 

@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from io import BytesIO
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -85,20 +86,33 @@ def parallelism(spark: SparkSession) -> int:
 
 
 
+def put(spark: SparkSession, path: str, content: bytes) -> None:
+    """A small file written on any file system Spark knows."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
+    try:
+        out.write(bytearray(content))
+    finally:
+        out.close()
+
+
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the workers, once for each application, unless they find it by PYTHONPATH.
 
-    The archive is only the source that the driver hands out from; workers keep copies of their own.
+    The archive is handed out from the shared folder.
     """
     root, app = Path(__file__).resolve().parents[1], spark.sparkContext.applicationId
     if app in _shipped or any(p and Path(p).resolve() == root for p in os.environ.get("PYTHONPATH", "").split(os.pathsep)):
         return
-    at = Path(tempfile.mkdtemp(prefix="marlstone-ship-")) / "marlstone.zip"
-    with zipfile.ZipFile(at, "w", zipfile.ZIP_DEFLATED) as z:
+    packed = BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
         for p in sorted((root / "marlstone").rglob("*.py")):
             z.write(p, p.relative_to(root))
-    spark.sparkContext.addPyFile(str(at))
+    at = scratch(spark, "package") + ".zip"
+    put(spark, at, packed.getvalue())
+    spark.sparkContext.addPyFile(at)
+    delete_at_exit(spark, at)
     _shipped.add(app)
