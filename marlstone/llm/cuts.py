@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.session import parallelism, require, written
+from marlstone.session import bounded_broadcast, parallelism, require, written
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 5
@@ -205,17 +205,84 @@ def _aligned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"doc_id": out}, dtype=object)
 
 
-def near_copies(classes: DataFrame) -> DataFrame:
-    """``(doc_id, other)``: each text and its next longer near-copy candidate in each band.
+def _run_hashes(words: np.ndarray, width: int) -> np.ndarray:
+    """A hash for each run of ``width`` words."""
+    n = len(words) - width + 1
+    out = np.zeros(max(n, 0), dtype=np.uint64)
+    for k in range(width if n > 0 else 0):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + words[k : k + n]
+    return out ^ np.uint64(width)
 
-    Within a band's bucket texts are ordered by size; one text that goes on shows the cut, so the next longer one is
-    enough and a bucket of n texts gives n - 1 pairs. Texts similar by 0.8 differ in size by a quarter at most: buckets
-    are split by size class, each text standing in its own class and the next, so that no such pair is parted.
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What ``ends_early`` asks of a text: its tail with its last word (``tail``), and where each run of its words last stands with the word after it."""
+    for b in batches:
+        for i, t in zip(b.column("doc_id"), b.column("text").to_pylist()):
+            w = re.findall(r"[^\W_]+", t.lower())
+            hashes, n, full = _word_hashes(w), len(w), 2 * SHINGLE
+            tails, runs, after, more = [], [], [], []
+            if n > SHINGLE:
+                width = min(full, n - 1)
+                tails.append(int(_run_hashes(hashes[n - 1 - width : n - 1], width)[0]))
+                after.append(w[-1])
+                more.append(False)
+            # A text of up to ten words has a shorter tail; only texts with few different shingles are near to one.
+            few = n and len(shingle_hashes(t)) * SIMILARITY <= full - SHINGLE + 1
+            for width in range(SHINGLE if few else full, full + 1):
+                last = {h: k for k, h in enumerate(_run_hashes(hashes, width).tolist())}
+                for h, k in last.items():
+                    if k + width < n:
+                        runs.append(h)
+                        after.append(w[k + width])
+                        more.append(k + width + 1 < n)
+            total = len(tails) + len(runs)
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": pa.array([i.as_py()] * total, b.schema.field("doc_id").type), "words": pa.array([n] * total, pa.int32()), "tail": pa.array([True] * len(tails) + [False] * len(runs), pa.bool_()),
+                "run": pa.array(np.array(tails + runs, np.uint64).astype(np.int64)), "word": pa.array(after, pa.string()), "more": pa.array(more, pa.bool_()),
+            })
+
+
+def ended_early(classes: DataFrame) -> DataFrame:
+    """``doc_id`` of each text with a near-copy that goes on where it ends.
+
+    Texts meet in a band's bucket. Texts similar by 0.8 differ in size by a quarter at most: buckets are split by size
+    class, each text standing in its own class and the next, so that no such pair is parted. Within a bucket a text is
+    held against every longer one that has its final words with a going on behind them, whatever lies between the two in
+    size. One that goes on is enough, so the longer ones are taken in salted parts, four times as many each time, by the
+    texts still without one, until they have it or all parts are through.
     """
-    bands = classes.select("doc_id", "text").mapInArrow(_banded, f"doc_id {dict(classes.dtypes)['doc_id']}, band int, key bigint, size int")
+    kind = dict(classes.dtypes)["doc_id"]
+    bands = classes.select("doc_id", "text").mapInArrow(_banded, f"doc_id {kind}, band int, key bigint, size int")
     grade = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(1 / SIMILARITY))).cast("int")
     spread = written(bands.withColumn("grade", F.explode(F.array(grade, grade + 1))), "bands")
-    return neighbours(spread, ["band", "key", "grade"], ["size", "doc_id"]).select("doc_id", F.col("next").alias("other")).distinct()
+    # Members of buckets with two or more.
+    beside = neighbours(spread, ["band", "key", "grade"], ["size", "doc_id"])
+    shared = bounded_broadcast(written(beside.select("doc_id").unionByName(beside.select(F.col("next").alias("doc_id"))).distinct(), "near-copies"))
+    texts = written(classes.select("doc_id", "text").join(shared, "doc_id", "left_semi"), "near-texts")
+    runs = written(texts.mapInArrow(_runs, f"doc_id {kind}, words int, tail boolean, run bigint, word string, more boolean"), "runs")
+    tails = runs.where("tail").select("doc_id", "words", "run", F.col("word").alias("last"))
+    # A tail's last word may be cut itself: the word behind the run has to begin with it, and something has to follow.
+    asked = tails.select("run", F.length("last").alias("n")).distinct()
+    on = runs.where("NOT tail").join(asked, "run").where("n < length(word) OR n = length(word) AND more")
+    on = on.select(F.col("doc_id").alias("other"), F.col("words").alias("longer"), "run", F.substring("word", F.lit(1), F.col("n")).alias("last"))
+    buckets = spread.join(shared, "doc_id", "left_semi").select("doc_id", "band", "key", "grade")
+    at = F.xxhash64("band", "key", "grade", "run", "last").alias("at")
+    goes = on.join(buckets.withColumnRenamed("doc_id", "other"), "other").select(at, "other", "longer")
+    # Parts are powers of two, so that texts are in the same part of all buckets of like size.
+    parts = written(goes.groupBy("at").agg(F.pow(F.lit(2), F.ceil(F.log2(F.count("*").cast("double")))).cast("bigint").alias("parts")), "going-on-parts")
+    goes = written(goes.join(parts, "at").withColumn("part", F.pmod(F.xxhash64("other"), "parts")), "going-on")
+    open_ = written(tails.join(buckets, "doc_id").select(at, "doc_id", "words").join(parts, "at"), "open-ends")
+    found, begin, end = None, 0, 1
+    while not open_.isEmpty():
+        mine = open_.withColumn("step", F.explode(F.sequence(F.lit(begin), F.least(F.lit(end), F.col("parts")) - 1)))
+        mine = mine.withColumn("part", F.pmod(F.xxhash64("doc_id") + F.col("step"), "parts"))
+        pairs = written(mine.join(goes.drop("parts"), ["at", "part"]).where("longer > words AND doc_id <> other").select("doc_id", "other").distinct(), "near-pairs")
+        a, b = texts.withColumnRenamed("text", "short"), texts.select(F.col("doc_id").alias("other"), F.col("text").alias("long"))
+        now = written(pairs.join(a, "doc_id").join(b, "other").mapInPandas(_aligned, f"doc_id {kind}").distinct(), "goes-on")
+        found = now if found is None else found.unionByName(now)
+        open_ = written(open_.where(F.col("parts") > end).join(now, "doc_id", "left_anti"), "open-ends")
+        begin, end = end, 4 * end
+    return classes.select("doc_id").limit(0) if found is None else found.distinct()
 
 
 def _followed(group: int):
@@ -270,10 +337,7 @@ def cut(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     member = docs.select("doc_id", F.md5("text").alias("h"), F.xxhash64("text").alias("x"))
     first = written(member.groupBy("h", "x").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "text-classes")
     classes = docs.join(first.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    pairs = written(near_copies(classes), "near-copies")
-    a = docs.select("doc_id", F.col("text").alias("short"))
-    b = docs.select(F.col("doc_id").alias("other"), F.col("text").alias("long"))
-    early = pairs.join(a, "doc_id").join(b, "other").mapInPandas(_aligned, f"doc_id {kind}").distinct()
+    early = ended_early(classes)
     # From class representatives back to every member of their class.
     by_copy = written(first.join(early.withColumnRenamed("doc_id", "rep"), "rep", "left_semi").join(member, ["h", "x"]).select("doc_id"), "ended-early")
     closings = terminality(docs.select("text"))

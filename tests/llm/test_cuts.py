@@ -63,3 +63,29 @@ def test_neighbours_across_ranges(spark):
     ordered = sorted(rows)
     assert got == sorted((a[4], b[4]) for a, b in zip(ordered, ordered[1:]) if a[:3] == b[:3])
     assert neighbours(df.limit(0), ["band", "key", "grade"], ["size", "doc_id"]).count() == 0
+
+
+def test_every_longer_near_copy_is_met(spark):
+    """Cut variants stand next to each other by size; the copies that go on stand behind them, most edited elsewhere."""
+    rng = random.Random(9)
+    base = text(rng, 600).replace(".", "").split()
+    variant = lambda k, n: [*base[:20], f"name{k}", *base[20:n]]
+    rows = [(k, " ".join(variant(k, 560)) + ".") for k in range(12)]
+    rows += [(100 + k, " ".join([*variant(k, 558), "so", "it", "ends", "here"]) + ".") for k in range(60)]
+    rows += [(200, " ".join([*variant(3, 600), "and", "on"]) + ".")]
+    got = sorted(r["doc_id"] for r in cut(spark.createDataFrame(rows, "doc_id bigint, text string")).where("how = 'copy'").collect())
+    assert got == list(range(12))
+    # The same by brute force.
+    assert got == sorted({i for i, a in rows for j, b in rows if ends_early(a, b) and _similar(a, b)})
+
+
+def _similar(a, b):
+    x, y = set(shingle_hashes(a).tolist()), set(shingle_hashes(b).tolist())
+    return len(x & y) >= SIMILARITY * len(x | y)
+
+
+def test_short_and_repeated_texts_are_met(spark):
+    w = "here are ten small words that all stand by themselves again and".split()
+    rows = [(k, " ".join(w[:k]) + ".") for k in (9, 10, 11)] + [(20, "la " * 60 + "lo."), (21, "la " * 90 + "lo lu.")]
+    got = {r["doc_id"] for r in cut(spark.createDataFrame(rows, "doc_id bigint, text string")).where("how = 'copy'").collect()}
+    assert got == {9, 10} == {i for i, a in rows for j, b in rows if ends_early(a, b) and _similar(a, b)}
