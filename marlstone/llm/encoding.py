@@ -15,15 +15,16 @@ from functools import lru_cache
 
 import pandas as pd
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.session import require, written
+from marlstone.session import bounded_broadcast, require, written
 
-#: Dictionary sizes are bounded: so many phrases, the most frequent over all rows, and so many bytes for each language.
+#: Dictionary sizes are bounded for each language: so many phrases, the most frequent over all rows, and so many bytes.
 PHRASES = 4000
 DICTIONARY_BYTES = 64_000
-WORDS = 20_000
+#: Word counts that a task keeps.
+KEPT = 500_000
 LEVEL = 9
 #: Bytes that a chain costs; a swap of single-byte sets explains any accented letter, so it must save more.
 COST = {"utf8": 1.0, "utf8 twice": 2.0, "single": 4.0}
@@ -137,9 +138,9 @@ def language(text: Column) -> Column:
     return out.otherwise("en")
 
 
-def phrases(rows: DataFrame, text_col: str) -> tuple[list[tuple[str, str, int]], dict[str, int]]:
-    """(language, phrase, count) of the most frequent words with non-ASCII characters and their neighbours, and the counts
-    of the most frequent such words alone; both are counted over all rows; digits read 0.
+def phrases(rows: DataFrame, text_col: str) -> tuple[list[tuple[str, str, int]], DataFrame]:
+    """(language, phrase, count) of each language's most frequent words with non-ASCII characters and their neighbours, and
+    ``(word, count)`` of all such words alone; both are counted over all rows; digits read 0.
     """
     text = F.col(text_col)
     # The language is found before the rows multiply, once for each text.
@@ -148,10 +149,23 @@ def phrases(rows: DataFrame, text_col: str) -> tuple[list[tuple[str, str, int]],
     each = each.where((F.length("phrase") <= 60) & ~F.col("phrase").rlike("[\ufffd\u0080-\u009f]"))
     counted = written(each.groupBy("lang", "phrase").count(), "phrases")
     words = counted.select(F.explode_outer(F.split("phrase", " ")).alias("word"), "count").where(F.col("word").rlike(r"[^\x00-\x7f]")).groupBy("word").agg(F.sum("count").alias("count"))
-    # The filters keep the limits off the plans' roots, where each task would send its own best rows to the driver.
-    top = counted.orderBy(F.desc("count"), "lang", "phrase").limit(PHRASES).where("count > 0").select("lang", "phrase", "count")
-    known = words.orderBy(F.desc("count"), "word").limit(WORDS).where("count > 0")
-    return [tuple(r) for r in top.collect()], {r["word"]: r["count"] for r in known.collect()}
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "phrase"))
+    top = counted.withColumn("rank", rank).where(F.col("rank") <= PHRASES).select("lang", "phrase", "count")
+    return sorted((tuple(r) for r in top.collect()), key=lambda r: (-r[2], r[0], r[1])), written(words, "words")
+
+
+def _non_ascii(counted: list[tuple[str, str, int]]) -> set[str]:
+    return {w for _, p, _ in counted for w in p.split(" ") if not w.isascii()}
+
+
+def counts_for(counted: list[tuple[str, str, int]], words: DataFrame) -> dict[str, int]:
+    """The counts of the phrases' words and of what chains make of them; the phrases bound their number."""
+    seen = _non_ascii(counted)
+    asked = sorted(seen | {to for w in seen for _, _, to in candidates(w)})
+    if not asked:
+        return {}
+    asked = words.sparkSession.createDataFrame(pd.DataFrame({"word": asked}), "word string")
+    return {r["word"]: r["count"] for r in words.join(F.broadcast(asked), "word", "left_semi").collect()}
 
 
 def dictionaries(counted: list[tuple[str, str, int]], total: dict[str, int]) -> dict[str, bytes]:
@@ -159,7 +173,7 @@ def dictionaries(counted: list[tuple[str, str, int]], total: dict[str, int]) ->
 
     Phrases with a word that a chain turns into one more frequent, or into known characters as UTF-8, are left out: they are what is looked for.
     """
-    seen = {w for _, p, _ in counted for w in p.split(" ") if not w.isascii()}
+    seen = _non_ascii(counted)
     undone = {w: [(c, to) for c, _, to in candidates(w)] for w in seen}
     # Characters of words that are no UTF-8 read wrongly; what only they spell was meant.
     plain = {ch for w, to in undone.items() if not any(c.startswith("utf8") for c, _ in to) for ch in w} | set(map(chr, range(128)))
@@ -184,6 +198,7 @@ class Describer:
     """Description lengths in bytes under the best dictionary."""
 
     def __init__(self, content: dict[str, bytes], known: dict[str, int] | None = None, level: int = LEVEL):
+        # Counts may be added: those that a text needs have to be there before it is looked at.
         self.by, self.known = [], known or {}
         self.alphabet = {ch for c in content.values() for ch in c.decode("utf-16-le")} | set(map(chr, range(128)))
         for _, c in sorted(content.items()):
@@ -235,26 +250,51 @@ def undo(text: str, chain: str) -> str:
     return text
 
 
+def _pieces(text: str) -> list[str]:
+    """What is described of a text whose digits read 0; page-long texts are looked at in pieces, so that no cache entry is long."""
+    key = "\n".join(SEGMENT.findall(text))
+    return [key[k : k + 2000] for k in range(0, max(1, len(key)), 2000)]
+
+
+def asked_of(text: str) -> set[str]:
+    """The words whose counts, with those of what chains make of them, decide about a text."""
+    text = text.translate(ZEROS)
+    return {*NON_ASCII_WORD.findall(text), *(w for piece in _pieces(text) for w in piece.split() if not w.isascii())}
+
+
 def chains_of(d: Describer, text: str) -> list[str]:
-    """The chains of ``text``, most often one or none; page-long texts are looked at in pieces, so that no cache entry is long."""
+    """The chains of ``text``, most often one or none."""
     text = text.translate(ZEROS)
     if all(map(d.settled, NON_ASCII_WORD.findall(text))):
         return []
-    key = "\n".join(SEGMENT.findall(text))
-    return [c for k in range(0, max(1, len(key)), 2000) if (c := d.choose(key[k : k + 2000]))]
+    return [c for piece in _pieces(text) if (c := d.choose(piece))]
+
+
+def _asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        yield pd.DataFrame({"text": b["text"], "words": [sorted(asked_of(t)) for t in b["text"]]}, dtype=object)
 
 
-def chain_of(d: Describer, text: str) -> bool:
-    """Whether ``text`` is garbled."""
-    return bool(DAMAGE.search(text) or chains_of(d, text))
+def _read_as(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each word with itself and what chains make of it, and whether one reads it as UTF-8."""
+    for b in batches:
+        out = []
+        for w in b["word"]:
+            tried = candidates(w)
+            utf8 = any(c.startswith("utf8") for c, _, _ in tried)
+            out += [(w, to, utf8) for to in (w, *(to for _, _, to in tried))]
+        yield pd.DataFrame(out, columns=["word", "to", "utf8"], dtype=object)
 
 
-def _mended(content: dict[str, bytes], known: dict[str, int]):
+def _mended(content: dict[str, bytes]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        d = Describer(content, known)
+        d = Describer(content)
         for b in batches:
             out = []
-            for i, t in zip(b["id"], b["text"]):
+            for t, facts in zip(b["text"], b["facts"]):
+                if len(d.known) > KEPT:
+                    d.known.clear()
+                d.known.update((f["to"], f["count"]) for f in (() if facts is None else facts))
                 found = chains_of(d, t)
                 if found:
                     to = t
@@ -264,12 +304,37 @@ def _mended(content: dict[str, bytes], known: dict[str, int]):
                     to = t
                 else:
                     continue
-                out.append((i, found[0] if found else "none", to, bool(DAMAGE.search(to))))
-            yield pd.DataFrame(out, columns=["id", "chain", "restored", "lossy"], dtype=object)
+                out.append((t, found[0] if found else "none", to, bool(DAMAGE.search(to))))
+            yield pd.DataFrame(out, columns=["text", "chain", "restored", "lossy"], dtype=object)
 
     return run
 
 
+def garbled_texts(rows: DataFrame, among: DataFrame | None = None) -> DataFrame:
+    """``(text, chain, restored, lossy)`` of each different garbled ``text`` of ``among``, by the counts of all ``rows``.
+
+    Only texts with a word that a chain could be chosen for are described, each with the exact counts that it needs.
+    """
+    counted, words = phrases(rows, "text")
+    content = dictionaries(counted, counts_for(counted, words))
+    texts = (rows if among is None else among).select("text").where(F.col("text").rlike(suspicious())).distinct()
+    texts = written(texts.mapInPandas(_asked, "text string, words array<string>"), "asked")
+    each = texts.select("text", F.explode("words").alias("word"))
+    tried = each.select("word").distinct().mapInPandas(_read_as, "word string, to string, utf8 boolean")
+    tried = tried.join(words.withColumnRenamed("word", "to"), "to", "left")
+    own = F.max(F.when(F.col("to") == F.col("word"), F.coalesce("count", F.lit(0))))
+    best = F.max(F.when(F.col("to") != F.col("word"), F.coalesce("count", F.lit(0))))
+    fact = F.when(F.col("count").isNotNull(), F.struct("to", "count"))
+    # Open: not settled, see Describer.
+    facts = written(tried.groupBy("word").agg(F.collect_set(fact).alias("facts"), (F.bool_or("utf8") | F.coalesce(own <= best, F.lit(False))).alias("open")), "word-facts")
+    near = written(each.join(bounded_broadcast(facts.where("open").select("word")), "word", "left_semi").select("text").distinct(), "open-texts")
+    told = each.join(near, "text", "left_semi").join(facts.where(F.size("facts") > 0).select("word", "facts"), "word", "left")
+    told = told.groupBy("text").agg(F.flatten(F.collect_list("facts")).alias("facts"))
+    damaged = texts.where(F.col("text").rlike("[\ufffd\u0080-\u009f]")).select("text").join(near, "text", "left_anti")
+    judged = told.unionByName(damaged, allowMissingColumns=True)
+    return written(judged.mapInPandas(_mended(content), "text string, chain string, restored string, lossy boolean"), "garbled")
+
+
 def garbled(messages: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """``(id, chain, restored, lossy)`` of each garbled row: what was undone, the text after it, whether a part is lost.
 
@@ -277,6 +342,4 @@ def garbled(messages: DataFrame, id_col: str = "id", text_col: str = "text") ->
     never garbled; repeated rows give repeated results; a tie leaves the text unchanged; other columns are ignored.
     """
     rows = require(messages, id_col, text_col).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    counted, known = phrases(rows, "text")
-    kind = dict(rows.dtypes)["id"]
-    return rows.where(F.col("text").rlike(suspicious())).mapInPandas(_mended(dictionaries(counted, known), known), f"id {kind}, chain string, restored string, lossy boolean")
+    return rows.join(garbled_texts(rows), "text").select("id", "chain", "restored", "lossy")

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.functions.textfold import INVISIBLE, LOOKALIKES, SPACES
-from marlstone.llm.encoding import Describer, chain_of, dictionaries, phrases
+from marlstone.llm.encoding import garbled_texts
 from marlstone.session import require
 
 #: Compatibility forms that are only another style of the same letter; superscripts, fractions and the like are not.
@@ -218,19 +218,18 @@ def unified(messages: DataFrame, id_col: str = "id", text_col: str = "text", gar
     """
     rows = require(messages, id_col, text_col).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
     forms = Forms(unit_counts(rows))
-    counted, known = ([], {}) if garbled else phrases(rows, "text")
-    content = dictionaries(counted, known)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        describer = Describer(content, known)
         for b in batches:
             out = []
             for i, t in zip(b["id"], b["text"]):
                 to = forms.rewrite(t)
                 if to != t:
                     to = forms.rewrite(to)  # what an invisible character kept apart
-                if to != t and (garbled or not chain_of(describer, t)):
+                if to != t:
                     out.append((i, to))
             yield pd.DataFrame(out, columns=["id", "text"], dtype=object)
 
-    return rows.where(gate(F.col("text"))).mapInPandas(run, f"id {dict(rows.dtypes)['id']}, text string")
+    gated = rows.where(gate(F.col("text")))
+    own = gated if garbled else gated.join(garbled_texts(rows, gated).select("text"), "text", "left_anti").select("id", "text")
+    return own.mapInPandas(run, f"id {dict(rows.dtypes)['id']}, text string")

@@ -53,3 +53,15 @@ def test_nothing_and_very_long(spark):
     rows = [(1, long)] + [(k, "it’s fine") for k in range(2, 30)]
     got = garbled(spark.createDataFrame(rows, "id bigint, text string")).collect()
     assert [r["id"] for r in got] == [1] and got[0]["restored"] == "it’s " * 4_000
+
+
+def test_rare_words_count(spark):
+    """A swap leads to a word that the corpus holds twice only, behind more than 20,000 more frequent ones."""
+    letters = "abcdefghijklmnopqrst"
+    made = [f"{a}{b}é{c}{d}" for a in letters for b in letters for c in letters for d in letters[:3]]
+    rows = [(k, " ".join(made[k : k + 100])) for k in range(0, len(made), 100)] * 3
+    rows += [(80_000 + k, f"Die Zahlung ist bestätigt und schöne Grüße {k}") for k in range(9)]
+    rows += [(90_000 + k, f"Ihr Paket liegt bei zzschöneberg bereit {k}") for k in range(2)]
+    bad = "Ihr Paket liegt bei zzschöneberg bereit 7".encode("cp1252").decode("mac_roman")
+    got = {r["id"]: r["restored"] for r in garbled(spark.createDataFrame([*rows, (99_999, bad)], "id bigint, text string")).collect()}
+    assert got == {99_999: "Ihr Paket liegt bei zzschöneberg bereit 7"}
