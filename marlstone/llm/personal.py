@@ -105,30 +105,51 @@ def normalised(text: str) -> tuple[Traced, set[str]]:
 @cache
 def _hints() -> ahocorasick.Automaton:
     """One automaton for all the words without which a pattern cannot match; it says which patterns to try."""
-    ends = (" ", ",", ".", "\n", ":", "\t", "-")
     words = {
-        "disguise": ["@", "[", "(", "{", " dot "],
-        "spoken": [f"{w}{e}" for w in DIGIT_WORDS for e in (" ", "-", ",")],
-        "name": ["ansprech", "nominee", "ask", "ship", "accepted", "holder", "contacto", "attn", "benefic", "rider", " hi", "contact", "reach", " to ", "\tto", "\nto", "to\n", "deposited"],
-        "honoured": [f"{a}{h}{e}" for a in (" ", "\n", "\t", "(", ":", "\"") for h in ("mr", "mrs", "ms", "miss", "dr", "prof", "herr", "frau") for e in (" ", ".", "\n", "\t")],
+        "disguise": ["@", "[", "(", "{", "<", " dot "],
+        "name": ["ansprech", "nominee", "ask", "ship", "accepted", "holder", "contacto", "attn", "benefic", "rider", "contact", "reach", "deposited"],
         "announced": ["pan", "passport", "ssn", "tax", "proof", "with", "national", "aadhaar", "nino", "dni", "ausweis"],
-        "address": [f"{s}{e}" for s in STREETS.split("|") for e in ends] + ["cross", "main", "c/", "calle", "avda", "plaza"]
+        "address": ["cross", "main", "c/", "calle", "avda", "plaza"]
         + ["rue", "avenue", "boulevard", "place", "chemin", "allée", "impasse", "quai", "route"]
-        + ["weg", "straße", "strasse", "allee", "platz", "gasse", "ufer", "str.", "str ", "am ", "an ", "auf ", "im ", "zum ", "zur "],
+        + ["weg", "straße", "strasse", "allee", "platz", "gasse", "ufer", "str."],
     }
-    by: dict[str, set[str]] = {}
+    # Words with what has to stand before and after them.
+    between = [
+        ("spoken", DIGIT_WORDS, _edge, lambda c: c in ",.-" or c.isspace()), ("honoured", ["mr", "mrs", "ms", "miss", "dr", "prof", "herr", "frau"], _edge, lambda c: c == "." or c.isspace()),
+        ("address", STREETS.split("|"), str.isspace, _edge), ("address", ["am", "an", "auf", "im", "zum", "zur"], _edge, str.isspace), ("address", ["str"], str.isalpha, str.isspace),
+        ("name", ["hi"], _edge, _separates), ("name", ["to"], str.isspace, _separates),
+    ]
+    by: dict[str, tuple[set[str], list]] = {}
     for kind, ws in words.items():
         for w in ws:
-            by.setdefault(w, set()).add(kind)
+            by.setdefault(w, (set(), []))[0].add(kind)
+    for kind, ws, before, after in between:
+        for w in ws:
+            by.setdefault(w, (set(), []))[1].append((kind, before, after))
     out = ahocorasick.Automaton()
-    for w, kinds in by.items():
-        out.add_word(w, frozenset(kinds))
+    for w, (kinds, edged) in by.items():
+        out.add_word(w, (kinds, len(w), edged))
     out.make_automaton()
     return out
 
 
+def _edge(c: str) -> bool:
+    """Whether a word can end or begin beside ``c``."""
+    return not c.isalnum() and c != "_"
+
+
+def _separates(c: str) -> bool:
+    return c in ":–-" or c.isspace()
+
+
 def hinted(text: str) -> set[str]:
-    return set().union(*(kinds for _, kinds in _hints().iter(f" {text.lower()} ")))
+    s, out = f" {text.lower()} ", set()
+    for end, (kinds, n, edged) in _hints().iter(s):
+        out |= kinds
+        for kind, before, after in edged:
+            if kind not in out and end + 1 < len(s) and after(s[end + 1]) and before(s[end - n]):
+                out.add(kind)
+    return out
 
 
 # ---- identifiers ----------------------------------------------------------------------------------------------------

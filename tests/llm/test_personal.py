@@ -60,3 +60,20 @@ def test_rows(spark):
     got = sorted(tuple(r) for r in personal_types(df).collect())
     assert got == [(1, "sender", "email"), (1, "text", "phone"), (5, "sender", "name"), (5, "sender", "name"), (8, "sender", "phone")]
     assert personal_types(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("mail ravi <at> example <dot> com please", {"email"}),
+        ("call zero.seven.seven.double zero.nine.double zero.zero.one.seven", {"phone"}),
+        ("call zero\nseven\nseven\nzero\nzero\nnine\nzero\nzero\nzero\none\nseven", {"phone"}),
+        ("home (12 Maple Street) is yours", {"street_address"}),
+        ("home is 12 Maple Road; come", {"street_address"}),
+        ("it's '12 Maple Lane'", {"street_address"}),
+        ("ring/Mr Harlow", {"name"}),
+        ("“Dr. Harlow” was here", {"name"}),
+    ],
+)
+def test_nothing_that_a_pattern_accepts_is_left_at_the_gate(text, want):
+    assert {k for *_, k in identifiers(text)} == want
