@@ -1,7 +1,8 @@
 """Text cut off by field limits: near-copies that go on, and closing-word terminality.
 
-Near-copies are found through min-hash banding over five-word shingles, verified, and aligned from their ends; the copy
-whose alignment ends early was cut. For all other records the closing decides: whether the words that a text ends with
+Near-copies are found through min-hash banding over the five-word shingles of all texts' beginnings, so that a text meets
+its original however much of it is gone; they are aligned from the end of the shorter and verified as far as it goes, and
+the copy whose alignment ends early was cut. For all other records the closing decides: whether the words that a text ends with
 are words that texts end with. Closings and how often they close a text are counted over the whole corpus.
 """
 
@@ -16,14 +17,17 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.session import bounded_broadcast, parallelism, require, written
+from marlstone.session import bounded_broadcast, require, written
 
 SHINGLE, SIMILARITY = 5, 0.8
-BANDS, ROWS = 20, 5
+BANDS, ROWS = 16, 4
+#: Sets of so many shingles are similar by ``SIMILARITY`` only if they are equal.
+EXACT = 8
+#: Shingles that are hashed at once.
+PIECE = 16_384
 #: A closing counts as one if this part of all documents end with it. So there are at most 1 / FREQUENT of them.
 FREQUENT = 0.0003
 #: The part of its occurrences that must end a text.
@@ -137,88 +141,118 @@ def whole(text: str, closings: dict[str, float]) -> bool:
 # ---- near-copies -----------------------------------------------------------------------------------------------------
 
 
+def words_of(text: str) -> list[str]:
+    return re.findall(r"[^\W_]+", text.lower())
+
+
 def _word_hashes(words: list[str]) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(w) for w in words], dtype=np.uint64)
 
 
-def shingle_hashes(text: str) -> np.ndarray:
-    """Hashes of the runs of five words; a shorter text has the one run it is."""
-    w = _word_hashes(re.findall(r"[^\W_]+", text.lower()))
-    if len(w) == 0:
-        return w
-    n = max(1, len(w) - SHINGLE + 1)
-    out = np.zeros(n, dtype=np.uint64)
-    for k in range(min(SHINGLE, len(w))):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + w[k : k + n]
-    out ^= out >> np.uint64(29)
-    return np.unique(out)
+def _run_hashes(words: np.ndarray, width: int) -> np.ndarray:
+    """A hash for each run of ``width`` words."""
+    n = len(words) - width + 1
+    out = np.zeros(max(n, 0), dtype=np.uint64)
+    for k in range(width if n > 0 else 0):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + words[k : k + n]
+    return out ^ (out >> np.uint64(29)) ^ np.uint64(width)
+
+
+def shingles(words: list[str]) -> np.ndarray:
+    """Hashes of the different runs of five words, in the order of their first occurrence; a shorter text is one run."""
+    if not words:
+        return np.zeros(0, np.uint64)
+    runs = _run_hashes(_word_hashes(words), min(SHINGLE, len(words)))
+    return runs[np.sort(np.unique(runs, return_index=True)[1])]
 
 
 _A = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1)) % 2**64 | 1 for k in range(1, BANDS * ROWS + 1)], dtype=np.uint64)
 _B = np.array([xxhash.xxh64_intdigest(str(k)) for k in range(BANDS * ROWS)], dtype=np.uint64)
+_MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
-def band_keys(hashes: np.ndarray) -> list[int]:
-    mixed = hashes[None, :] * _A[:, None] + _B[:, None]
-    mixed ^= mixed >> np.uint64(32)
-    least = mixed.min(axis=1).reshape(BANDS, ROWS)
-    key = np.zeros(BANDS, dtype=np.uint64)
+def _mixed(runs: np.ndarray) -> np.ndarray:
+    out = runs[None, :] * _A[:, None] + _B[:, None]
+    out ^= out >> np.uint64(32)
+    return out
+
+
+def _least(runs: np.ndarray, starts: list[int]) -> np.ndarray:
+    """The min-hashes of each stretch; a long text goes piece by piece, so that memory stays bounded."""
+    if len(runs) <= PIECE:
+        return np.minimum.reduceat(_mixed(runs), starts, axis=1)
+    stretches = zip(starts, [*starts[1:], len(runs)])
+    return np.stack([np.min([_mixed(runs[k : min(k + PIECE, end)]).min(axis=1) for k in range(begin, end, PIECE)], axis=0) for begin, end in stretches], axis=1)
+
+
+def beginnings(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(grade, key)`` of every band of the first 1, 2, 4, 8 … shingles: the min-hashes of all beginnings of a text.
+
+    The first 2 ** ``grade`` shingles are the beginning. Two sets of up to ``EXACT`` shingles that are similar by 0.8 are
+    equal, so one key of the whole set does for them.
+    """
+    grades = len(runs).bit_length()
+    starts = [0, *(1 << g for g in range(grades - 1))]
+    # The least of a beginning is the least of its stretches' least.
+    least = np.minimum.accumulate(_least(runs[: 1 << (grades - 1)], starts), axis=1).reshape(BANDS, ROWS, grades)
+    key = np.zeros((BANDS, grades), dtype=np.uint64)
     for r in range(ROWS):
-        key = key * np.uint64(0xD6E8FEB86659FD93) + (least[:, r] ^ (least[:, r] >> np.uint64(31)))
-    return key.astype(np.int64).tolist()
+        key = key * _MIX + (least[:, r] ^ (least[:, r] >> np.uint64(31)))
+    grade = np.broadcast_to(np.arange(grades), key.shape)
+    key = (key + np.arange(BANDS, dtype=np.uint64)[:, None]) * _MIX + grade.astype(np.uint64)
+    sums = np.bitwise_xor.accumulate(runs[:EXACT] * _A[0] ^ (runs[:EXACT] >> np.uint64(32)))
+    few = np.arange(min(grades, EXACT.bit_length()))
+    exact = sums[(1 << few) - 1] * _MIX + few.astype(np.uint64)
+    many = key[:, len(few) :]
+    return np.concatenate([few, grade[:, len(few) :].ravel()]), np.concatenate([exact, many.ravel()])
 
 
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each band of each beginning; ``own`` for those of the longest, in which a text is looked for."""
     for b in batches:
-        ids, bands, keys, sizes, kind = [], [], [], [], b.schema.field("doc_id").type
+        ids, keys, own = [], [np.zeros(0, np.uint64)], [np.zeros(0, bool)]
         for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-            h = shingle_hashes(t)
-            if len(h):
-                ids += [i] * BANDS
-                bands += range(BANDS)
-                keys += band_keys(h)
-                sizes += [len(h)] * BANDS
-        yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, kind), "band": pa.array(bands, pa.int32()), "key": pa.array(keys, pa.int64()), "size": pa.array(sizes, pa.int32())})
+            if len(runs := shingles(words_of(t))):
+                grade, key = beginnings(runs)
+                ids += [i] * len(key)
+                keys.append(key)
+                own.append(grade == grade[-1])
+        yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, b.schema.field("doc_id").type), "bucket": pa.array(np.concatenate(keys).astype(np.int64)), "own": pa.array(np.concatenate(own))})
 
 
-def ends_early(short: str, long: str) -> bool:
-    """Whether ``short`` runs along ``long``, its near-copy, to its own end, and ``long`` goes on from there."""
-    a, b = re.findall(r"[^\W_]+", short.lower()), re.findall(r"[^\W_]+", long.lower())
+def going_on(a: list[str], b: list[str]) -> Iterator[int]:
+    """Where in ``b`` the last word of ``a`` stands behind its final words, wherever ``b`` goes on from there."""
     tail = a[-2 * SHINGLE - 1 : -1]  # the last word may be cut itself
-    if len(a) < SHINGLE + 1 or len(b) <= len(a):
+    if len(tail) >= SHINGLE:
+        for at in range(len(tail), len(b)):
+            if b[at].startswith(a[-1]) and b[at - len(tail) : at] == tail and (at + 1 < len(b) or len(b[at]) > len(a[-1])):
+                yield at
+
+
+def ends_early(short: str, long: str) -> bool:
+    """Whether ``short`` is a near-copy of the beginning of ``long`` that ends where ``long`` goes on."""
+    a, b = words_of(short), words_of(long)
+    if not (places := list(going_on(a, b))):
         return False
-    for k in range(len(b) - len(tail) - 1, -1, -1):
-        if b[k : k + len(tail)] == tail:
-            at = k + len(tail)
-            return at < len(b) and b[at].startswith(a[-1]) and (at + 1 < len(b) or len(b[at]) > len(a[-1]))
-    return False
+    x, y = shingles(a[:-1]), _run_hashes(_word_hashes(b), SHINGLE)
+    begins = np.sort(np.unique(y, return_index=True)[1])
+    # How many different shingles ``b`` has up to each of them, and how many of them are also in ``a``.
+    shared = np.cumsum(np.isin(y[begins], x))
+    n = np.searchsorted(begins, np.array(places) - SHINGLE, "right")
+    both = shared[n - 1]
+    return bool((both >= SIMILARITY * (len(x) + n - both)).any())
 
 
 def _aligned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        out = []
-        for i, short, long in zip(b["doc_id"], b["short"], b["long"]):
-            x, y = shingle_hashes(short), shingle_hashes(long)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            if both >= SIMILARITY * (len(x) + len(y) - both) and ends_early(short, long):
-                out.append(i)
-        yield pd.DataFrame({"doc_id": out}, dtype=object)
-
-
-def _run_hashes(words: np.ndarray, width: int) -> np.ndarray:
-    """A hash for each run of ``width`` words."""
-    n = len(words) - width + 1
-    out = np.zeros(max(n, 0), dtype=np.uint64)
-    for k in range(width if n > 0 else 0):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + words[k : k + n]
-    return out ^ np.uint64(width)
+        yield pd.DataFrame({"doc_id": [i for i, short, long in zip(b["doc_id"], b["short"], b["long"]) if ends_early(short, long)]}, dtype=object)
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What ``ends_early`` asks of a text: its tail with its last word (``tail``), and where each run of its words last stands with the word after it."""
+    """What ``going_on`` asks of a text: its tail with its last word (``tail``), and where its runs of words stand with the word after them."""
     for b in batches:
         for i, t in zip(b.column("doc_id"), b.column("text").to_pylist()):
-            w = re.findall(r"[^\W_]+", t.lower())
+            w = words_of(t)
             hashes, n, full = _word_hashes(w), len(w), 2 * SHINGLE
             tails, runs, after, more = [], [], [], []
             if n > SHINGLE:
@@ -226,57 +260,53 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 tails.append(int(_run_hashes(hashes[n - 1 - width : n - 1], width)[0]))
                 after.append(w[-1])
                 more.append(False)
-            # A text of up to ten words has a shorter tail; only texts with few different shingles are near to one.
-            few = n and len(shingle_hashes(t)) * SIMILARITY <= full - SHINGLE + 1
-            for width in range(SHINGLE if few else full, full + 1):
-                last = {h: k for k, h in enumerate(_run_hashes(hashes, width).tolist())}
-                for h, k in last.items():
+            # A text of up to ten words has a shorter tail; it runs along the first words of its near-copies.
+            for width in range(SHINGLE, full + 1):
+                for k, h in enumerate(_run_hashes(hashes[: n if width == full else 2 * full], width).tolist()):
                     if k + width < n:
                         runs.append(h)
                         after.append(w[k + width])
                         more.append(k + width + 1 < n)
             total = len(tails) + len(runs)
             yield pa.RecordBatch.from_pydict({
-                "doc_id": pa.array([i.as_py()] * total, b.schema.field("doc_id").type), "words": pa.array([n] * total, pa.int32()), "tail": pa.array([True] * len(tails) + [False] * len(runs), pa.bool_()),
+                "doc_id": pa.array([i.as_py()] * total, b.schema.field("doc_id").type), "tail": pa.array([True] * len(tails) + [False] * len(runs), pa.bool_()),
                 "run": pa.array(np.array(tails + runs, np.uint64).astype(np.int64)), "word": pa.array(after, pa.string()), "more": pa.array(more, pa.bool_()),
             })
 
 
 def ended_early(classes: DataFrame) -> DataFrame:
-    """``doc_id`` of each text with a near-copy that goes on where it ends.
+    """``doc_id`` of each text that is a near-copy of the beginning of a text that goes on where it ends.
 
-    Texts meet in a band's bucket. Texts similar by 0.8 differ in size by a quarter at most: buckets are split by size
-    class, each text standing in its own class and the next, so that no such pair is parted. Within a bucket a text is
-    held against every longer one that has its final words with a going on behind them, whatever lies between the two in
-    size. One that goes on is enough, so the longer ones are taken in salted parts, four times as many each time, by the
-    texts still without one, until they have it or all parts are through.
+    Banding is over beginnings: every text stands in the buckets of its first 1, 2, 4, 8 … shingles and is looked for in
+    those of the longest alone, which covers more than half of it. However much of a text is gone, what is left meets
+    the beginning of its original. Within a bucket a text is held against every longer one that has its final words with
+    a going on behind them. One that goes on is enough, so the longer ones are taken in salted parts, four times as many
+    each time, by the texts still without one, until they have it or all parts are through.
     """
     kind = dict(classes.dtypes)["doc_id"]
-    bands = classes.select("doc_id", "text").mapInArrow(_banded, f"doc_id {kind}, band int, key bigint, size int")
-    grade = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(1 / SIMILARITY))).cast("int")
-    spread = written(bands.withColumn("grade", F.explode(F.array(grade, grade + 1))), "bands")
-    # Members of buckets with two or more.
-    beside = neighbours(spread, ["band", "key", "grade"], ["size", "doc_id"])
-    shared = bounded_broadcast(written(beside.select("doc_id").unionByName(beside.select(F.col("next").alias("doc_id"))).distinct(), "near-copies"))
+    bands = written(classes.select("doc_id", "text").mapInArrow(_banded, f"doc_id {kind}, bucket bigint, own boolean"), "bands")
+    # Buckets that some text is looked for in and that hold another one.
+    met = bands.groupBy("bucket").agg(F.bool_or("own").alias("own"), F.count("*").alias("n")).where("own AND n > 1")
+    buckets = written(bands.join(bounded_broadcast(written(met.select("bucket"), "met")), "bucket", "left_semi"), "buckets")
+    shared = bounded_broadcast(written(buckets.select("doc_id").distinct(), "near-copies"))
     texts = written(classes.select("doc_id", "text").join(shared, "doc_id", "left_semi"), "near-texts")
-    runs = written(texts.mapInArrow(_runs, f"doc_id {kind}, words int, tail boolean, run bigint, word string, more boolean"), "runs")
-    tails = runs.where("tail").select("doc_id", "words", "run", F.col("word").alias("last"))
+    runs = written(texts.mapInArrow(_runs, f"doc_id {kind}, tail boolean, run bigint, word string, more boolean"), "runs")
+    tails = runs.where("tail").select("doc_id", "run", F.col("word").alias("last"))
     # A tail's last word may be cut itself: the word behind the run has to begin with it, and something has to follow.
     asked = tails.select("run", F.length("last").alias("n")).distinct()
     on = runs.where("NOT tail").join(asked, "run").where("n < length(word) OR n = length(word) AND more")
-    on = on.select(F.col("doc_id").alias("other"), F.col("words").alias("longer"), "run", F.substring("word", F.lit(1), F.col("n")).alias("last"))
-    buckets = spread.join(shared, "doc_id", "left_semi").select("doc_id", "band", "key", "grade")
-    at = F.xxhash64("band", "key", "grade", "run", "last").alias("at")
-    goes = on.join(buckets.withColumnRenamed("doc_id", "other"), "other").select(at, "other", "longer")
+    on = on.select(F.col("doc_id").alias("other"), "run", F.substring("word", F.lit(1), F.col("n")).alias("last")).distinct()
+    at = F.xxhash64("bucket", "run", "last").alias("at")
+    goes = on.join(buckets.select(F.col("doc_id").alias("other"), "bucket"), "other").select(at, "other")
     # Parts are powers of two, so that texts are in the same part of all buckets of like size.
     parts = written(goes.groupBy("at").agg(F.pow(F.lit(2), F.ceil(F.log2(F.count("*").cast("double")))).cast("bigint").alias("parts")), "going-on-parts")
     goes = written(goes.join(parts, "at").withColumn("part", F.pmod(F.xxhash64("other"), "parts")), "going-on")
-    open_ = written(tails.join(buckets, "doc_id").select(at, "doc_id", "words").join(parts, "at"), "open-ends")
+    open_ = written(tails.join(buckets.where("own"), "doc_id").select(at, "doc_id").join(parts, "at"), "open-ends")
     found, begin, end = None, 0, 1
     while not open_.isEmpty():
         mine = open_.withColumn("step", F.explode(F.sequence(F.lit(begin), F.least(F.lit(end), F.col("parts")) - 1)))
         mine = mine.withColumn("part", F.pmod(F.xxhash64("doc_id") + F.col("step"), "parts"))
-        pairs = written(mine.join(goes.drop("parts"), ["at", "part"]).where("longer > words AND doc_id <> other").select("doc_id", "other").distinct(), "near-pairs")
+        pairs = written(mine.join(goes.drop("parts"), ["at", "part"]).where("doc_id <> other").select("doc_id", "other").distinct(), "near-pairs")
         a, b = texts.withColumnRenamed("text", "short"), texts.select(F.col("doc_id").alias("other"), F.col("text").alias("long"))
         now = written(pairs.join(a, "doc_id").join(b, "other").mapInPandas(_aligned, f"doc_id {kind}").distinct(), "goes-on")
         found = now if found is None else found.unionByName(now)
@@ -285,47 +315,6 @@ def ended_early(classes: DataFrame) -> DataFrame:
     return classes.select("doc_id").limit(0) if found is None else found.distinct()
 
 
-def _followed(group: int):
-    """Of sorted rows: each row with its follower in its group, and the partition's first and last row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, last, kind = TaskContext.get().partitionId(), None, pa.int64()
-
-        def out(rows: list[tuple]) -> pa.RecordBatch:
-            what, keys, ids, nexts = zip(*rows) if rows else ((), (), (), ())
-            return pa.RecordBatch.from_pydict({"what": pa.array(what, pa.string()), "part": pa.array([part] * len(rows), pa.int32()), "same": pa.array(keys, pa.string()), "doc_id": pa.array(ids, kind), "next": pa.array(nexts, kind)})
-
-        for b in batches:
-            kind, found = b.schema.field("doc_id").type, []
-            for *rest, i in zip(*(c.to_pylist() for c in b.columns)):
-                same = "/".join(map(str, rest[:group]))
-                if last is None:
-                    found.append(("first", same, i, None))
-                elif last[0] == same:
-                    found.append(("pair", same, last[1], i))
-                last = same, i
-            yield out(found)
-        yield out([("last", *last, None)] if last else [])
-
-    return run
-
-
-def neighbours(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
-    """``(doc_id, next)``: each row's follower by ``order`` (which ends with ``doc_id``) within its group.
-
-    Rows are sorted in ranges, so a group of any size is spread over tasks; only each range's first and last row, two for
-    each task, are put side by side to join the ranges up.
-    """
-    keys, kind = group + order, dict(rows.dtypes)["doc_id"]
-    ranges = rows.select(*keys).repartitionByRange(parallelism(rows.sparkSession), *keys).sortWithinPartitions(*keys)
-    out = written(ranges.mapInArrow(_followed(len(group)), f"what string, part int, same string, doc_id {kind}, next {kind}"), "neighbours")
-    ends = out.where("what <> 'pair'")
-    by = Window.orderBy("part", "what")  # a range's first row before its last
-    across = ends.withColumn("w", F.lead("what").over(by)).withColumn("s", F.lead("same").over(by)).withColumn("n", F.lead("doc_id").over(by))
-    across = across.where("what = 'last' AND w = 'first' AND s = same").select("doc_id", F.col("n").alias("next"))
-    return out.where("what = 'pair'").select("doc_id", "next").unionByName(across)
-
-
 def cut(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, how)`` of each cut document: ``copy`` if a near-copy goes on, else ``closing``.
 
