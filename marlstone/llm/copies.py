@@ -2,12 +2,16 @@
 
 Rows become canonical bytes (case, white space, punctuation and marks gone; labelled parts in one order). Each input
 partition first counts in tries of its own, so a record that fills a third of all rows leaves it as a few rows. Then
-keys are partitioned by their leading bytes; buckets over the limit are split by further bytes, again and again, until
-each fits a trie; the tries' terminal counters are the result. No bucket is ever collected whole.
+keys are partitioned by their first two bytes; a bucket over the limit is split by further bytes behind those that all its
+keys share, as many as its size asks for, round after round until each fits a trie; the tries' terminal counters are the
+result. No bucket is ever collected whole.
 """
 
 from __future__ import annotations
 
+import os.path
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import ahocorasick
@@ -19,10 +23,12 @@ from marlstone.session import bounded_broadcast, require, written
 
 #: Keys that a trie may hold; a bucket with more is split.
 BUCKET_KEYS = 20_000
-#: Bytes of the first split, and of each further one.
-FIRST_BYTES, STEP_BYTES = 24, 12
+#: Bytes of the first split.
+FIRST_BYTES = 2
+#: Keys of an oversized bucket that are looked at to choose how many bytes its split takes; whether parts fit is counted.
+PICKS = 256
 
-_LABEL = r"[^\W\d_]{1,12}(?:/[^\W\d_]{1,3})?\s*:(?!//)"
+_LABEL = r"[^\W\d_]+(?:/[^\W\d_]+)?\s*:(?!//)"
 _DROP = r"[^\p{L}\p{M}\p{N}\p{Sc}]+"
 
 
@@ -32,11 +38,12 @@ def bare(text: Column) -> Column:
 
 
 def canonical_text(text: Column) -> Column:
-    """``bare`` text; a heading with three or more ``label: value`` parts has its parts sorted."""
-    parts = F.split(text, rf"(?U)(?:^|[\s;,/|]+)(?={_LABEL})")
+    """``bare`` text; where two or more ``label: value`` parts stand, behind a heading or not, they are sorted."""
+    # With a line break before it, a text that begins with a label has an empty heading.
+    parts = F.split(F.concat(F.lit("\n"), text), rf"(?U)[\s;,/|]+(?={_LABEL})")
     parts_bare = F.transform(parts, bare)
     labelled = F.concat(F.element_at(parts_bare, 1), F.array_join(F.array_sort(F.slice(parts_bare, 2, F.greatest(F.size(parts_bare) - 1, F.lit(0)))), ""))
-    return F.when(text.rlike(rf"(?U)(?s)[\s;,/|]{_LABEL}.*[\s;,/|]{_LABEL}.*[\s;,/|]{_LABEL}"), labelled).otherwise(bare(text))
+    return F.when(text.rlike(rf"(?U)(?s)(?:^|[\s;,/|]){_LABEL}.*[\s;,/|]{_LABEL}"), labelled).otherwise(bare(text))
 
 
 class CountingTrie:
@@ -100,26 +107,46 @@ def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     yield _batch(out + [x for x in trie.drain() if x[1] > 1], kind)
 
 
+def _deeper(limit: int):
+    """For each oversized bucket, the bytes of its next split: the fewest by which the largest part of its picks is small enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            widths = []
+            for rows, *ends, picks in zip(*(b.column(c).to_pylist() for c in ("rows", "least", "most", "picks"))):
+                keys = {*ends, *picks}
+                enough = max(1.0, len(keys) * max(limit / rows, 4 / PICKS))
+                shared, longest = len(os.path.commonprefix(ends)), max(map(len, keys))
+                widths.append(bisect_left(range(longest), True, shared + 1, key=lambda w: max(Counter(k[:w] for k in keys).values()) <= enough))
+            yield pa.RecordBatch.from_pydict({"bucket": b.column("bucket"), "width": pa.array(widths, pa.int32())})
+
+    return run
+
+
 def bucketed(keys: DataFrame, limit: int = BUCKET_KEYS) -> DataFrame:
-    """``keys`` (``key`` binary, …) with ``bucket``: the shortest prefix tried under which at most ``limit`` rows fall.
+    """``keys`` (``key`` binary, …) with ``bucket``, a hash of the prefix under which at most ``limit`` rows fall.
 
-    A key as long as its prefix is a bucket of its own; it needs one trie entry however many rows it has.
+    A bucket whose rows all have one key fits however many they are; it needs one trie entry. All keys of a bucket lie
+    between its least and its greatest, so the beginning of these two is shared by all and skipped: a split always parts
+    the bucket. Different keys of it, picked by their hashes, tell how many bytes make its parts small enough. Each round
+    is written, and only the rows of oversized buckets go on to the next.
     """
-    width, done, rest = FIRST_BYTES, None, keys
+    rest, done, level = keys.withColumn("bucket", F.xxhash64(F.substring("key", 1, FIRST_BYTES))), None, 0
     while True:
-        prefixed = rest.withColumn("bucket", F.substring("key", 1, width))
-        # Only buckets above the limit are gathered; there can't be more of them than rows / limit.
-        over = prefixed.where(F.length("key") > width).groupBy("bucket").agg(F.count("*").alias("c")).where(F.col("c") > limit).select("bucket")
-        over = written(over, "radix-over")
-        small = prefixed
-        if not over.isEmpty():
-            over = bounded_broadcast(over)
-            big = prefixed.where(F.length("key") > width).join(over, "bucket", "left_semi")
-            small = prefixed.where(F.length("key") <= width).unionByName(prefixed.where(F.length("key") > width).join(over, "bucket", "left_anti"))
+        sizes = rest.groupBy("bucket").agg(F.count("*").alias("rows")).where(F.col("rows") > limit)
+        sizes = bounded_broadcast(written(sizes, "radix-sizes"))
+        # Keys are looked at in oversized buckets only; there can't be more of them than rows / limit.
+        per = rest.join(sizes.select("bucket"), "bucket", "left_semi").withColumn("h", F.xxhash64("key")).groupBy("bucket", F.pmod("h", F.lit(PICKS)).alias("slot"))
+        per = per.agg(F.count("*").alias("rows"), F.min("key").alias("least"), F.max("key").alias("most"), F.min_by("key", "h").alias("pick"))
+        ends = per.groupBy("bucket").agg(F.sum("rows").alias("rows"), F.min("least").alias("least"), F.max("most").alias("most"), F.collect_list("pick").alias("picks"))
+        over = written(ends.where("least <> most").mapInArrow(_deeper(limit), "bucket bigint, width int"), "radix-over")
+        if over.isEmpty():
+            return rest if done is None else done.unionByName(rest)
+        over = bounded_broadcast(over)
+        small = rest.join(over, "bucket", "left_anti")
         done = small if done is None else done.unionByName(small)
-        if small is prefixed:
-            return done
-        rest, width = big.drop("bucket"), width + STEP_BYTES
+        split = rest.join(over, "bucket").withColumn("bucket", F.xxhash64(F.expr("substring(key, 1, width)"))).drop("width")
+        rest, level = written(split.select(*rest.columns), f"radix-{level + 1}"), level + 1
 
 
 def copies(messages: DataFrame, id_col: str = "id", text_col: str = "text", sender_col: str = "sender", limit: int = BUCKET_KEYS) -> DataFrame:

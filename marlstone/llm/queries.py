@@ -89,9 +89,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_f
     "p7_found": p7_found, "p7_packed": p7_packed, "p7_fill": p7_fill, "p8_found": p8_found, "p8_matches": p8_matches, "p9_found": p9_found, "p9_by_source": p9_by_source}
 _GRAM = r"SELECT DISTINCT {i}, array_to_string(w[k : k + 11], ' ') AS gram FROM (SELECT {i}, w, unnest(range(1, len(w) - 10)) AS k FROM (SELECT {i}, regexp_extract_all(lower({t}), '[\p{{L}}\p{{N}}]+') AS w FROM {s}))"
 _BARE = "replace(upper(regexp_replace({}, '[^\\p{{L}}\\p{{M}}\\p{{N}}\\p{{Sc}}]+', '', 'g')), 'ẞ', 'SS')".replace("\\\\", "\\")
-_LABEL = r"((?:^|[\t\n\x0b\f\r \x{85}\p{Z};,/|]+))([\p{L}\p{M}\p{Nl}]{1,12}(?:/[\p{L}\p{M}\p{Nl}]{1,3})?[\t\n\x0b\f\r \x{85}\p{Z}]*:)"
+_LABEL = r"((?:^|[\t\n\x0b\f\r \x{85}\p{Z};,/|]+))([\p{L}\p{M}\p{Nl}]+(?:/[\p{L}\p{M}\p{Nl}]+)?[\t\n\x0b\f\r \x{85}\p{Z}]*:)"
 _PARTS = f"string_split(regexp_replace(replace(text, '://', chr(2)), '{_LABEL}', chr(1) || '\\2', 'g'), chr(1))"
-_LABELLED = "len(regexp_extract_all(replace(text, '://', chr(2)), '" + _LABEL.replace("(?:^|[", "(?:[", 1) + "')) >= 3"
+_LABELLED = "len(regexp_extract_all(replace(text, '://', chr(2)), '" + _LABEL + "')) >= 2"
 _KEY = f"CASE WHEN {_LABELLED} THEN {_BARE.format('p[1]')} || array_to_string(list_sort(list_transform(p[2:], lambda x: {_BARE.format('x')})), '') ELSE {_BARE.format('text')} END"
 
 ORACLES: dict[str, str] = {

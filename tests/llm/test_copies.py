@@ -48,6 +48,31 @@ def test_labelled_parts_in_any_order(spark):
     assert got == [(1, 3), (5, 2)]
 
 
+def test_two_parts_and_long_labels(spark):
+    rows = [
+        (1, "Notice\nVerwendungszweck: Miete\nAmt: 5", "b"), (2, "NOTICE; amt: 5; verwendungszweck: miete", "b"), (3, "Amt: 5, Ref: 7", "c"), (4, "ref: 7 / amt: 5", "C"),
+        (5, "see https://a.example/x: y", "d"), (6, "See https a example x y", "d"),
+    ]
+    got = sorted(tuple(r) for r in copies(spark.createDataFrame(rows, "id bigint, text string, sender string")).collect())
+    assert got == [(1, 2), (3, 2), (5, 2)]
+
+
+def test_long_common_beginnings_take_few_rounds(spark, monkeypatch):
+    """A family behind 200 common bytes, one hot key with many rows, and outliers that share only a part of the beginning."""
+    from marlstone.llm import copies as module
+
+    names, write = [], module.written
+    monkeypatch.setattr(module, "written", lambda df, name: (names.append(name), write(df, name))[1])
+    family = F.concat(F.lit("x" * 200), F.lpad(F.col("id").cast("string"), 7, "0"))
+    outlier = F.concat(F.lit("x" * 3), F.col("id").cast("string"))
+    text = F.when(F.col("id") % 3 == 0, F.lit("x" * 200 + "hot")).when(F.col("id") % 50 == 1, outlier).otherwise(family)
+    keys = spark.range(30_000).select(F.encode(text, "utf-8").alias("key"))
+    sizes = bucketed(keys, 500).groupBy("bucket").agg(F.count("*").alias("rows"), F.countDistinct("key").alias("keys")).collect()
+    assert sum(r["rows"] for r in sizes) == 30_000
+    assert all(r["rows"] <= 500 or r["keys"] == 1 for r in sizes)
+    assert len([n for n in names if n.startswith("radix-") and n[6:].isdigit()]) <= 4
+
+
 def test_every_bucket_fits(spark):
     keys = spark.range(500).select(F.encode(F.concat(F.lit("same long beginning of every key "), F.lpad(F.col("id").cast("string"), 6, "0")), "utf-8").alias("key"))
     sizes = bucketed(keys, 20).groupBy("bucket").count().collect()
