@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from marlstone.session import bounded_broadcast, require, written
 
 SHINGLE, SIMILARITY = 5, 0.8
-BANDS, ROWS = 16, 4
+BANDS, ROWS = 20, 7
 #: Sets of so many shingles are similar by ``SIMILARITY`` only if they are equal.
 EXACT = 8
 #: Shingles that are hashed at once.
