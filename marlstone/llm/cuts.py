@@ -26,6 +26,9 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 7
 #: Sets of so many shingles are similar by ``SIMILARITY`` only if they are equal.
 EXACT = 8
+#: A text that ends with a whole sentence is only held against its copies from so many words on: a few stock sentences
+#: begin many texts by chance.
+CHANCE_WORDS = 60
 #: Shingles that are hashed at once.
 PIECE = 16_384
 #: A closing counts as one if this part of all documents end with it. So there are at most 1 / FREQUENT of them.
@@ -212,11 +215,12 @@ def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         ids, keys, own = [], [np.zeros(0, np.uint64)], [np.zeros(0, bool)]
         for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-            if len(runs := shingles(words_of(t))):
+            words = words_of(t)
+            if len(runs := shingles(words)):
                 grade, key = beginnings(runs)
                 ids += [i] * len(key)
                 keys.append(key)
-                own.append(grade == grade[-1])
+                own.append((grade == grade[-1]) & looked_for(t, words))
         yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, b.schema.field("doc_id").type), "bucket": pa.array(np.concatenate(keys).astype(np.int64)), "own": pa.array(np.concatenate(own))})
 
 
@@ -229,9 +233,16 @@ def going_on(a: list[str], b: list[str]) -> Iterator[int]:
                 yield at
 
 
+def looked_for(text: str, words: list[str]) -> bool:
+    """Whether a copy that goes on would tell that ``text`` was cut."""
+    return len(words) > SHINGLE and (len(words) >= CHANCE_WORDS or not ends_whole(text))
+
+
 def ends_early(short: str, long: str) -> bool:
     """Whether ``short`` is a near-copy of the beginning of ``long`` that ends where ``long`` goes on."""
     a, b = words_of(short), words_of(long)
+    if not looked_for(short, a):
+        return False
     if not (places := list(going_on(a, b))):
         return False
     x, y = shingles(a[:-1]), _run_hashes(_word_hashes(b), SHINGLE)
