@@ -3,11 +3,16 @@
 Raw strings are de-duplicated together with their zone and locale into a dictionary of distinct values, each value is
 parsed once by every known form, the dictionary is kept as a table that later calls only add to, and the instants are
 joined back to the rows. 100 copies of a raw string cost one parse; the parser runs over the dictionary, never over rows.
+The dictionary stays in the shared folder under a name of the parser's own, so a later call, or a later driver, parses
+only values that none before it has seen; a changed parser starts a new one.
 """
 
 from __future__ import annotations
 
+import hashlib
+import inspect
 import re
+import sys
 from collections.abc import Iterator
 from datetime import datetime, timedelta
 from functools import lru_cache
@@ -18,8 +23,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.functions.textfold import ascii_fold
-from marlstone.session import bounded_broadcast, delete_at_exit, require, scratch
+from marlstone.functions.text import let
+from marlstone.functions.textfold import ascii_fold, ascii_tables
+from marlstone.session import bounded_broadcast, require, shared_dir, written
 
 EPOCH = datetime(1970, 1, 1)
 APPLE_EPOCH_S = 978_307_200
@@ -30,44 +36,81 @@ END_US = 1_798_761_600_000_000
 #: The form that needs no change.
 NORMAL_FORM = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{6}Z$"
 
-# English month names, zone abbreviations and the zones they belong to (minutes east of Greenwich).
-MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
+# Month names of the corpus's languages and their neighbours, from January on.
+MONTHS = {
+    "en": "january february march april may june july august september october november december",
+    "de": "januar februar märz april mai juni juli august september oktober november dezember",
+    "fr": "janvier février mars avril mai juin juillet août septembre octobre novembre décembre",
+    "es": "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre",
+    "pt": "janeiro fevereiro março abril maio junho julho agosto setembro outubro novembro dezembro",
+    "it": "gennaio febbraio marzo aprile maggio giugno luglio agosto settembre ottobre novembre dicembre",
+    "nl": "januari februari maart april mei juni juli augustus september oktober november december",
+    "hi": "जनवरी फरवरी मार्च अप्रैल मई जून जुलाई अगस्त सितंबर अक्टूबर नवंबर दिसंबर",
+    "ru": "января февраля марта апреля мая июня июля августа сентября октября ноября декабря",
+    "el": "ιανουαρίου φεβρουαρίου μαρτίου απριλίου μαΐου ιουνίου ιουλίου αυγούστου σεπτεμβρίου οκτωβρίου νοεμβρίου δεκεμβρίου",
+}
+# Zone abbreviations and the zones they belong to (minutes east of Greenwich).
 ABBREVIATIONS = {
     "utc": (0, ""), "gmt": (0, "Europe/London"), "bst": (60, "Europe/London"), "cet": (60, "Europe/"), "cest": (120, "Europe/"),
     "ist": (330, "Asia/Kolkata"), "gst": (240, "Asia/Dubai"), "est": (-300, "America/"), "edt": (-240, "America/"),
     "aest": (600, "Australia/"), "aedt": (660, "Australia/"),
 }
 
-_MON = r"(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*"
+
+
+def _month_numbers() -> dict[str, int]:
+    """Each beginning of three letters or more that belongs to one month only, as written and as ``ascii_fold`` leaves it."""
+    of: dict[str, set[int]] = {}
+    fold = dict(zip(map(ord, ascii_tables()[0]), ascii_tables()[1]))
+    for names in MONTHS.values():
+        for k, name in enumerate(names.split(), 1):
+            for form in {name, name.translate(fold).lower()}:
+                for n in range(min(3, len(form)), len(form) + 1):
+                    of.setdefault(form[:n], set()).add(k)
+    return {name: next(iter(ks)) for name, ks in of.items() if len(ks) == 1}
+
+
+_MONTH = _month_numbers()
+_MON = "(?:" + "|".join(sorted({m[:3] if m.isascii() else m for m in _MONTH}, key=lambda m: (-len(m), m))) + r")[a-zà-ÿ]*\.?"
 _ABBR = r"(?:utc|gmt|bst|cest|cet|ist|gst|est|edt|aest|aedt)"
+_NTH = r"(?:\.|st|nd|rd|th|er)?"
 _DATE = (
     r"(?:\d{4}[-/.]\d{2}[-/.]\d{2}|\d{1,2}[-/.]\d{1,2}[-/.](?:\d{4}|\d{2})"
-    rf"|\d{{1,2}}[-/\s]*{_MON}[-/\s,]*(?:\d{{4}}|\d{{2}})|{_MON}\s+\d{{1,2}},?\s*\d{{4}})"
+    rf"|\d{{1,2}}{_NTH}[-/\s]*(?:de\s+)?{_MON}[-/\s,]*(?:del?\s+)?(?:\d{{4}}|\d{{2}})|(?<![a-zà-ÿ]){_MON}\s+\d{{1,2}}{_NTH},?\s*\d{{4}}|\d{{4}}-w\d{{2}}-[1-7])"
 )
 _TIME = r"(?:\d{1,2}:\d{2}(?::\d{2}(?:[.,]\d{1,9})?)?(?:\s*[ap]\.?m\b)?|\d{1,2}\.\d{2}\s*[ap]\.?m\b)"
 _ZONE = rf"(?:\s*(?:z\b|utc[+-]\d{{1,2}}\b|gmt[+-]\d{{1,2}}\b|[+-]\d{{2}}:?\d{{2}}\b|[+-]\d{{2}}\b|\[?(?:Africa|America|Asia|Australia|Europe|Pacific)/\w+(?:/\w+)?\]?|{_ABBR}\b))?"
+# Words between a date and its time of day.
+_AT = r"(?:\s*[,;]\s*|t|\s+(?:at|um|à|a\s+las|às|alle(?:\s+ore)?|om|को|в|στις)\s+|\s+-\s+|\s+)"
+_ON = r"(?:\s+(?:on|am|le|el|del|il|em|op|-)\s+|\s*,\s*|\s+)"
 #: A date with a time of day inside running text. Java and Python read it alike.
 MENTION = (
-    rf"(?i)(?<![\d.,:/-])(?:{_DATE}(?:\s*[,;]\s*|t|\s+at\s+|\s+-\s+|\s+){_TIME}{_ZONE}"
-    rf"|{_TIME}{_ZONE}(?:\s+(?:on|-)\s+|\s*,\s*|\s+){_DATE}{_ZONE}|\d{{8}}t\d{{6}}z?)"
+    rf"(?i)(?<![\d.,:/-])(?:{_DATE}{_AT}{_TIME}{_ZONE}"
+    rf"|{_TIME}{_ZONE}{_ON}{_DATE}{_ZONE}|\d{{8}}t\d{{6}}z?|\b(?:mon|tue|wed|thu|fri|sat|sun)\s+{_MON}\s+\d{{1,2}}\s+{_TIME}{_ZONE}\s+\d{{4}})"
 )
 
+CLOCK = r"(?i)\d:\d\d|\d\.\d\d\s*[ap]\.?m|\dt\d"
+
 _T = r"(?P<H>\d{1,2})[:.](?P<M>\d{2})(?:[:.](?P<S>\d{2})(?:[.,](?P<f>\d+))?)?\s*(?P<ap>[ap]\.?m\b\.?)?"
 _Z = (
     r"\s*(?:(?P<z>z)|(?:utc|gmt)?(?P<sg>[+-])(?P<oh>\d{1,2})(?::?(?P<om>\d{2}))?(?:\[[\w/+-]+\])?"
     r"|\[?(?P<reg>[a-z]+/[a-z_]+(?:/[a-z_]+)?)\]?|(?P<ab>[a-z]{3,4}))?"
 )
 _DAY = r"(?:(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s+)?"
+_B = r"(?P<b>[^\s\d.,/:-]{2,12})\.?"
 _D = [
     r"(?P<Y>\d{4})(?P<s>[-/.])(?P<m>\d{1,2})(?P=s)(?P<d>\d{1,2})",
-    _DAY + r"(?P<d>\d{1,2})[-/\s]*(?P<b>[a-z]{3,9})\.?[-/\s,]*(?P<Y>\d{4}|\d{2})",
-    _DAY + r"(?P<b>[a-z]{3,9})\.?\s+(?P<d>\d{1,2}),?\s*(?P<Y>\d{4})",
+    rf"{_DAY}(?P<d>\d{{1,2}}){_NTH}[-/\s]*(?:de\s+)?{_B}[-/\s,]*(?:del?\s+)?(?P<Y>\d{{4}}|\d{{2}})",
+    rf"{_DAY}{_B}\s+(?P<d>\d{{1,2}}){_NTH},?\s*(?P<Y>\d{{4}})",
     r"(?P<n1>\d{1,2})(?P<s>[-/.])(?P<n2>\d{1,2})(?P=s)(?P<Y>\d{4}|\d{2})",
+    r"(?P<Y>\d{4})-w(?P<w>\d{2})-(?P<wd>[1-7])",
+    r"(?P<Y>\d{4})-(?P<yd>\d{3})",
 ]
 FORMS = [
-    *(re.compile(rf"{d}(?:\s*[,;]\s*|t|\s+at\s+|\s+-\s+|\s+){_T}{_Z}", re.I) for d in _D),
+    *(re.compile(rf"{d}{_AT}{_T}{_Z}", re.I) for d in _D),
     re.compile(rf"(?P<Y>\d{{4}})(?P<m>\d{{2}})(?P<d>\d{{2}})t?(?P<H>\d{{2}})(?P<M>\d{{2}})(?P<S>\d{{2}})(?:\.(?P<f>\d+))?(?P<ap>(?!))?{_Z}", re.I),
-    *(re.compile(rf"{_T}(?:\s+(?:on|-)\s+|\s*,\s*|\s+){d}{_Z}", re.I) for d in _D),
+    *(re.compile(rf"{_T}{_ON}{d}{_Z}", re.I) for d in _D),
+    re.compile(rf"{_DAY}{_B}\s+(?P<d>\d{{1,2}})\s+{_T}{_Z}\s+(?P<Y>\d{{4}})", re.I),
 ]
 
 
@@ -107,8 +150,8 @@ def parse_instant(raw: str | None, zone: str | None, locale: str | None) -> int
     """
     if raw is None:
         return None
-    raw = raw.strip()
-    if not raw or len(raw) > 80:
+    raw = " ".join(raw.split())
+    if not raw:
         return None
     if raw.isascii() and re.fullmatch(r"\d{8,19}(?:\.\d+)?", raw):
         return _epoch(raw)
@@ -119,10 +162,17 @@ def parse_instant(raw: str | None, zone: str | None, locale: str | None) -> int
         return None
     g = m.groupdict()
     if g.get("b"):
-        name = g["b"][:3].lower()
-        if name not in MONTHS:
+        if not (month := _MONTH.get(g["b"].lower())):
             return None
-        month, day = MONTHS.index(name) + 1, int(g["d"])
+        day = int(g["d"])
+    elif g.get("w") or g.get("yd"):
+        try:
+            first = datetime.fromisocalendar(int(g["Y"]), int(g["w"]), int(g["wd"])) if g.get("w") else datetime(int(g["Y"]), 1, 1) + timedelta(days=int(g["yd"]) - 1)
+        except ValueError:
+            return None
+        if g.get("yd") and first.year != int(g["Y"]):
+            return None
+        g["Y"], month, day = str(first.year), first.month, first.day
     elif g.get("n1"):
         month, day = (int(g["n1"]), int(g["n2"])) if locale == "en_US" else (int(g["n2"]), int(g["n1"]))
     else:
@@ -176,33 +226,34 @@ def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield b.assign(utc_us=pd.array(values, dtype="Int64"))
 
 
+def parser_version() -> str:
+    """A name that changes with this module."""
+    return hashlib.md5(inspect.getsource(sys.modules[__name__]).encode()).hexdigest()[:12]
+
+
 class InstantDictionary:
     """The table of distinct (raw, zone, locale) with its instant, kept at ``path`` and only ever added to.
 
     ``update`` takes mentions with nulls and repeats; it parses those values that the table lacks and appends them.
-    An empty input changes nothing. Values that are no instant are kept with a null, so they aren't tried again.
+    An empty input changes nothing. Values that are no instant are kept with a null, so they aren't tried again. Two
+    writers at once may append the same value; ``table`` gives it once.
     """
 
     SCHEMA = "raw string, zone string, locale string, utc_us bigint"
+    KEY = ["raw", "zone", "locale"]
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    def __init__(self, spark: SparkSession, path: str | None = None):
+        self.spark, self.path = spark, path or f"{shared_dir(spark)}/marlstone/instants-{parser_version()}"
 
     def table(self) -> DataFrame:
         try:
-            return self.spark.read.schema(self.SCHEMA).parquet(self.path)
+            return self.spark.read.schema(self.SCHEMA).parquet(self.path).groupBy(*self.KEY).agg(F.max("utc_us").alias("utc_us"))
         except AnalysisException:
             return self.spark.createDataFrame([], self.SCHEMA)
 
-    def exists(self) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
-
     def update(self, mentions: DataFrame) -> "InstantDictionary":
         fresh = mentions.where(F.col("raw").isNotNull()).select("raw", F.coalesce("zone", F.lit("")).alias("zone"), F.coalesce("locale", F.lit("")).alias("locale")).distinct()
-        if self.exists():
-            fresh = fresh.join(self.table().select("raw", "zone", "locale"), ["raw", "zone", "locale"], "left_anti")
-        fresh.mapInPandas(_parsed, self.SCHEMA).write.mode("append").parquet(self.path)
+        fresh.join(self.table().select(*self.KEY), self.KEY, "left_anti").mapInPandas(_parsed, self.SCHEMA).write.mode("append").parquet(self.path)
         return self
 
     def resolve(self, mentions: DataFrame) -> DataFrame:
@@ -212,14 +263,13 @@ class InstantDictionary:
         partition, since the dictionary side is unique.
         """
         keyed = mentions.withColumns({"zone": F.coalesce("zone", F.lit("")), "locale": F.coalesce("locale", F.lit(""))})
-        return keyed.join(self.table(), ["raw", "zone", "locale"], "left")
+        return keyed.join(self.table(), self.KEY, "left")
 
 
 def mention_in(text: Column) -> Column:
     """The first date with a time of day in ``text``, styled digits and look-alike letters folded; null if none."""
-    found = F.regexp_extract(ascii_fold(text), MENTION, 0)
-    # Without a colon between digits, a dotted clock with am/pm or a basic stamp there is nothing to look for.
-    return F.when(found != "", found)
+    # Without a clock or a basic stamp there is nothing to look for.
+    return let(ascii_fold(text), lambda t: F.when(t.rlike(CLOCK), F.nullif(F.regexp_extract(t, MENTION, 0), F.lit(""))))
 
 
 def instants(
@@ -229,7 +279,7 @@ def instants(
 
     ``backups`` gives ``fileid, tz, locale``; rows without a backup keep only values with a zone of their own. Null,
     blank and unreadable values give no row; repeated rows give repeated results; extra columns are ignored.
-    ``dictionary``: where the table of parsed values is kept; a later call with the same path parses new values only.
+    ``dictionary``: where the table of parsed values is kept, else in the shared folder; a later call parses new values only.
     """
     spark = messages.sparkSession
     zones = require(backups, file_col, "tz", "locale").where(F.col("tz").isNotNull()).dropDuplicates([file_col])
@@ -237,8 +287,7 @@ def instants(
     of = lambda field, raw, keep: rows.select(F.col(id_col).alias("id"), F.lit(field).alias("field"), raw.alias("raw"), F.col("tz").alias("zone"), "locale").where(keep)
     dates = of("date", F.col(date_col), ~F.col(date_col).rlike(NORMAL_FORM) & (F.trim(date_col) != ""))
     texts = of("text", mention_in(F.col(text_col)), F.col("raw").isNotNull())
-    book = InstantDictionary(spark, dictionary or scratch(spark, "instants"))
-    book.update(dates).update(texts)
-    if not dictionary:
-        delete_at_exit(spark, book.path)
-    return book.resolve(dates.unionByName(texts)).where("utc_us IS NOT NULL").select("id", "field", "utc_us")
+    # The pattern runs over each text once; dictionary and join read what it found.
+    mentions = written(dates.unionByName(texts), "mentions")
+    book = InstantDictionary(spark, dictionary).update(mentions)
+    return book.resolve(mentions).where("utc_us IS NOT NULL").select("id", "field", "utc_us")

@@ -11,9 +11,12 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructType
 
 #: Row bound under which a side may be broadcast; it is counted, never assumed.
 BROADCAST_ROWS = 100_000
+#: And so many bytes, counted too.
+BROADCAST_BYTES = 64_000_000
 
 
 def local_session(name: str = "marlstone", cpus: int | str = "*", partitions: int = 8) -> SparkSession:
@@ -52,6 +55,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/marlstone/{name}-{uuid.uuid4().hex}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written whole at ``path``, on any file system Spark knows."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def delete_at_exit(spark: SparkSession, path: str) -> None:
     """The driver's file system removes ``path`` when the driver ends."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -67,9 +76,17 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``broadcast(df)`` if it has at most ``max_rows`` rows, else ``df`` as it is for a shuffled join."""
-    return F.broadcast(df) if len(df.limit(max_rows + 1).select(F.lit(1)).take(max_rows + 1)) <= max_rows else df
+def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``broadcast(df)`` if it has at most ``max_rows`` rows of ``max_bytes`` in all, else ``df`` as it is for a shuffled join.
+
+    Both are summed by the executors, so large sides should be written first; two numbers reach the driver.
+    """
+    width = F.lit(16)
+    for f in df.schema:
+        col = F.col(f"`{f.name}`")
+        width = width + (F.coalesce(F.octet_length(col), F.lit(0)) if isinstance(f.dataType, (StringType, BinaryType)) else F.length(F.to_json(F.struct(col))) if isinstance(f.dataType, (ArrayType, MapType, StructType)) else F.lit(8))
+    rows, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(width.cast("bigint")), F.lit(0))).first()
+    return F.broadcast(df) if rows <= max_rows and size <= max_bytes else df
 
 
 def require(df: DataFrame, *columns: str) -> DataFrame:

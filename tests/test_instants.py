@@ -34,6 +34,13 @@ CASES = [
     ("2024-11-03 01:30:00", "America/New_York", "", us(2024, 11, 3, 5, 30)),
     ("2024-03-10 02:30:00", "America/New_York", "", us(2024, 3, 10, 7, 30)),
     ("2024-11-03 01:30:00 EST", "America/New_York", "", us(2024, 11, 3, 6, 30)),
+    # months in the corpus's languages, ordinals, other layouts
+    ("3. Mai 2025 14:05", "Europe/Berlin", "de_DE", us(2025, 5, 3, 12, 5)), ("4 mars 2025 à 10:05", "Europe/Paris", "fr_FR", us(2025, 3, 4, 9, 5)), ("5 de marzo de 2025 a las 18:00", "UTC", "es_ES", us(2025, 3, 5, 18)),
+    ("1er août 2024 08:00", "UTC", "", us(2024, 8, 1, 8)), ("12. März 2024 um 07:15", "UTC", "", us(2024, 3, 12, 7, 15)), ("7 अगस्त 2025 09:30", "Asia/Kolkata", "hi_IN", us(2025, 8, 7, 4)), ("9 марта 2024 в 10:00", "UTC", "", us(2024, 3, 9, 10)),
+    ("Tue Mar 04 10:00:00 UTC 2025", "Asia/Kolkata", "", us(2025, 3, 4, 10)), ("2025-W10-2T10:00:00Z", "", "", us(2025, 3, 4, 10)), ("2025-063T10:00", "UTC", "", us(2025, 3, 4, 10)), ("March 4th, 2025 at 10:00 am", "UTC", "", us(2025, 3, 4, 10)),
+    # length decides nothing
+    ("2023-01-01" + " " * 100_000 + "07:12:50 UTC", "", "", us(2023, 1, 1, 7, 12, 50)),
+    ("3 jui 2025 10:00", "UTC", "", None), ("2025-W60-1 10:00", "UTC", "", None), ("2025-366 10:00", "UTC", "", None), ("3 foo 2025 10:00", "UTC", "", None),
     # bare numbers: both epochs, four units
     ("1672555515", "", "", 1672555515000000), ("1672534465739", "", "", 1672534465739000), ("1672627264372056", "", "", 1672627264372056),
     ("694253619669009948", "", "", 978307200000000 + 694253619669009), ("694253619", "", "", 978307200000000 + 694253619000000), ("1672555515.25", "", "", 1672555515250000),
@@ -73,3 +80,30 @@ def test_dictionary_only_grows(spark):
     assert book.update(one).table().count() == 1
     assert sorted((r["raw"], r["utc_us"]) for r in book.update(two).update(two).table().collect()) == [("1672555515", 1672555515000000), ("nothing", None)]
     assert book.resolve(two).where("utc_us IS NULL").count() == 1
+
+
+def test_dictionary_is_kept_between_calls(spark, monkeypatch):
+    """A second, larger input through the shared dictionary: only values that the first lacked are parsed."""
+    from marlstone.operators import instants as module
+
+    rows = [(k, f"2024-01-{k % 28 + 1:02d} 10:{k % 60:02d}:00", f"seen 4 Mai 2024 11:{k % 60:02d}", "f") for k in range(200)]
+    m = spark.createDataFrame(rows, "id bigint, date string, text string, fileid string")
+    b = spark.createDataFrame([("f", "Asia/Tokyo", "ja_JP")], "fileid string, tz string, locale string")
+    small, counts = instants(m.where("id < 50"), b).count(), []
+    book = InstantDictionary(spark)
+    before = book.table().where("zone = 'Asia/Tokyo'").count()
+    parse = module._parsed
+    monkeypatch.setattr(InstantDictionary, "update", lambda self, x, was=InstantDictionary.update: (was(self, x), counts.append(self.table().where("zone = 'Asia/Tokyo'").count()))[0])
+    assert instants(m, b).count() == 400 and small == 100 and parse is module._parsed
+    distinct = len({r[1] for r in rows}) + len({r[2][5:] for r in rows})
+    assert counts == [distinct] and before < distinct
+    # No value was parsed twice.
+    assert spark.read.parquet(book.path).where("zone = 'Asia/Tokyo'").count() == distinct
+
+
+def test_two_writers_of_one_value_do_not_double_rows(spark):
+    book = InstantDictionary(spark, scratch(spark, "book"))
+    one = spark.createDataFrame([("1672555515", "", "")], "raw string, zone string, locale string")
+    book.update(one)
+    spark.read.parquet(book.path).coalesce(1).write.mode("append").parquet(book.path)
+    assert book.table().count() == 1 and book.resolve(one).count() == 1
