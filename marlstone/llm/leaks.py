@@ -1,9 +1,10 @@
 """Evaluation texts leaking into training text: a positional inverted index with phrase and proximity search.
 
 Every training token's posting (token, document, position) is stored, sorted by token within each segment, so that a
-look-up reads the row groups of its terms only. A test item is searched from its rarest terms: their postings, less the
-term's place in the item, give the places where the item would have to begin; the postings of the other terms are
-intersected there, offset by offset, and runs of matching offsets are the phrases.
+look-up reads the row groups of its terms only. The stored index serves any number of searches. A test item is searched
+from its rarest terms: their postings, less the term's place in the item, give the places where the item would have to
+begin; the postings of the other terms are intersected there, offset by offset, once for each place within the document's
+group, and runs of matching offsets are the phrases.
 """
 
 from __future__ import annotations
@@ -11,12 +12,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.session import bounded_broadcast, require, written
+from marlstone.session import bounded_broadcast, exists, require, written
 
 #: Consecutive words that make a leak.
 MIN_WORDS = 12
 #: Places this near to each other belong to one proximity match.
 SLACK = 3
+#: Positions of a document that are verified together.
+BLOCK = 512
 
 
 def words(text: Column) -> Column:
@@ -24,48 +27,63 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
 
 
-def index(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The stored postings ``(token, doc_id, position)`` of all documents. Null and empty texts have none."""
+def index(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
+    """The stored postings ``(token, doc_id, position)`` of all documents. Null and empty texts have none.
+
+    ``path``: where the index is kept; one that is there is read, not built again. Searches take what this returns, so
+    that many of them share one index.
+    """
+    spark = documents.sparkSession
+    if path and exists(spark, path):
+        return spark.read.parquet(path)
     d = require(documents, id_col, text_col).select(F.col(id_col).alias("doc_id"), F.posexplode(words(F.col(text_col))).alias("position", "token"))
     # Segments keep the scan's partitioning: building the index moves no row.
-    return written(d.select("token", "doc_id", "position").sortWithinPartitions("token", "doc_id", "position"), "postings")
+    postings = d.select("token", "doc_id", "position").sortWithinPartitions("token")
+    if not path:
+        return written(postings, "postings")
+    postings.write.parquet(path)
+    return spark.read.parquet(path)
 
 
-def item_terms(items: DataFrame, id_col: str = "item_id", text_col: str = "sms", min_words: int = MIN_WORDS) -> DataFrame:
-    """``(item_id, at, token)`` of items long enough to leak."""
-    i = require(items, id_col, text_col).select(F.col(id_col).alias("item_id"), words(F.col(text_col)).alias("w")).where(F.size("w") >= min_words)
-    return i.select("item_id", F.posexplode("w").alias("at", "token"))
+def item_words(items: DataFrame, id_col: str = "item_id", text_col: str = "sms", min_words: int = MIN_WORDS) -> DataFrame:
+    """``(item_id, w)``: the words of items long enough to leak."""
+    return require(items, id_col, text_col).select(F.col(id_col).alias("item_id"), words(F.col(text_col)).alias("w")).where(F.size("w") >= min_words)
 
 
-def search(documents: DataFrame, items: DataFrame, min_words: int = MIN_WORDS, item_id: str = "item_id", item_text: str = "sms", span: int | None = None) -> DataFrame:
-    """``(doc_id, item_id, begin, matched, longest)``: words of the item found in place, for each place where it would begin.
+def search(postings: DataFrame, items: DataFrame, min_words: int = MIN_WORDS, item_id: str = "item_id", item_text: str = "sms", span: int | None = None) -> DataFrame:
+    """``(doc_id, item_id, begin, ats)``: the places in an item of its words that a document holds in place.
 
-    A place is found if ``span`` consecutive words, ``min_words`` by default, match there; ``longest`` is its longest run.
-    Null and short items match nothing; repeated documents count once; extra columns are ignored.
+    One row for each ``begin``, where the item would have to begin in the document, at which ``span`` consecutive words,
+    ``min_words`` by default, can match. ``postings`` is an ``index``. Null and short items match nothing; repeated
+    documents count once; extra columns are ignored.
     """
-    postings = index(documents)
-    terms = written(item_terms(items, item_id, item_text, min_words), "terms")
-    vocabulary = bounded_broadcast(terms.select("token").distinct())
+    span = span or min_words
+    whole = written(item_words(items, item_id, item_text, min_words), "items")
+    terms = whole.select("item_id", F.posexplode("w").alias("at", "token"))
     # Only postings of test terms are read on; how frequent each is decides where the search begins.
-    hits = written(postings.join(vocabulary, "token", "left_semi"), "test-postings")
+    hits = written(postings.join(bounded_broadcast(terms.select("token").distinct()), "token", "left_semi"), "test-postings")
     frequency = hits.groupBy("token").agg(F.count("*").alias("n"))
     ranked = terms.join(frequency, "token", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    span = span or min_words
     window = Window.partitionBy("item_id").orderBy("at").rowsBetween(0, span - 1)
     # The rarest term of every run of span words: whichever run leaked, one of these is in it.
     rarest = F.min(F.struct("n", "at", "token")).over(window)
     size = F.max("at").over(Window.partitionBy("item_id"))
     anchors = ranked.select("item_id", "at", rarest.alias("r"), size.alias("last")).where(F.col("at") + span - 1 <= F.col("last")).where("r.n > 0").select("item_id", F.col("r.at").alias("at"), F.col("r.token").alias("token")).distinct()
-    begins = hits.join(bounded_broadcast(anchors), "token").select("doc_id", "item_id", (F.col("position") - F.col("at")).alias("begin")).distinct()
-    begins = written(begins, "begins")
-    # Intersect: each place asks for the item's tokens at their offsets.
-    asked = begins.join(bounded_broadcast(terms), "item_id").select("doc_id", "item_id", "begin", "at", "token", (F.col("begin") + F.col("at")).alias("position"))
-    # Frequent terms have postings in every document: only those of documents with a place to verify are moved.
-    wanted = hits.join(bounded_broadcast(begins.select("doc_id").distinct()), "doc_id", "left_semi")
-    met = asked.join(wanted, ["doc_id", "token", "position"])
-    # At most as many rows in a group as the item has words.
-    runs = met.groupBy("doc_id", "item_id", "begin").agg(F.array_sort(F.collect_set("at")).alias("ats"))
-    return runs.select("doc_id", "item_id", "begin", F.size("ats").alias("matched"), longest_run(F.col("ats")).alias("longest"))
+    begins = hits.join(bounded_broadcast(written(anchors, "anchors")), "token").select("doc_id", "item_id", (F.col("position") - F.col("at")).alias("begin"))
+    # The places of a document's block meet its postings of test terms once; each place is intersected at its offsets there.
+    block = lambda position: F.floor(position / BLOCK)
+    places = written(begins.groupBy("doc_id", block(F.col("begin")).alias("block")).agg(F.collect_set(F.struct("item_id", "begin")).alias("places")), "places")
+    # Frequent terms have postings in every document: only those of documents with a place are moved.
+    wanted = hits.join(bounded_broadcast(places.select("doc_id").distinct()), "doc_id", "left_semi")
+    # A place reaches as far as its item is long, so a posting also belongs to blocks that end before it.
+    reach = whole.agg(F.coalesce(F.max(F.size("w")), F.lit(1))).first()[0]
+    blocks = F.explode(F.sequence(block(F.col("position") - (reach - 1)), block(F.col("position")))).alias("block")
+    held = wanted.select("doc_id", blocks, "position", "token").groupBy("doc_id", "block").agg(F.array_sort(F.collect_set(F.struct("position", "token"))).alias("held"))
+    each = places.join(held, ["doc_id", "block"]).select("doc_id", "held", F.explode("places").alias("p")).select("doc_id", "held", "p.*").join(bounded_broadcast(whole), "item_id")
+    at = lambda h: h["position"] - F.col("begin")
+    met = F.filter("held", lambda h: (at(h) >= 0) & (at(h) < F.size("w")) & (F.get("w", at(h)) == h["token"]))
+    found = each.withColumn("ats", F.transform(met, at)).where(F.size("ats") >= span)
+    return found.select("doc_id", "item_id", "begin", "ats")
 
 
 def longest_run(ats: Column) -> Column:
@@ -82,18 +100,21 @@ def longest_run(ats: Column) -> Column:
     return step["best"]
 
 
-def leaks(documents: DataFrame, items: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``(doc_id, item_id)``: documents that contain ``min_words`` consecutive words of an item, once each."""
-    return search(documents, items, min_words).where(F.col("longest") >= min_words).select("doc_id", "item_id").distinct()
+def leaks(postings: DataFrame, items: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """``(doc_id, item_id)``: documents of an ``index`` that contain ``min_words`` consecutive words of an item, once each."""
+    return search(postings, items, min_words).where(longest_run(F.col("ats")) >= min_words).select("doc_id", "item_id").distinct()
 
 
-def proximity(documents: DataFrame, items: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``(doc_id, item_id, matched, longest)``: exact and proximity matches.
+def proximity(postings: DataFrame, items: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """``(doc_id, item_id, matched, longest)``: exact and proximity matches in the documents of an ``index``.
 
-    Places within ``SLACK`` words of each other, as insertions and omissions leave them, are added up, if half of the words run on
-    at each.
+    ``matched`` counts the item's words found in order, where every omission or insertion between them moves the place at
+    which the item would begin by ``SLACK`` words at most; at each such place half of ``min_words`` have to run on.
     """
-    found = search(documents, items, min_words, span=max(2, min_words // 2))
+    span = max(2, min_words // 2)
+    found = search(postings, items, min_words, span=span).withColumn("longest", longest_run(F.col("ats"))).where(F.col("longest") >= span)
     by = Window.partitionBy("doc_id", "item_id").orderBy("begin")
     near = found.withColumn("new", (F.col("begin") - F.lag("begin").over(by) > SLACK).cast("int")).withColumn("part", F.sum(F.coalesce("new", F.lit(0))).over(by))
-    return near.groupBy("doc_id", "item_id", "part").agg(F.sum("matched").alias("matched"), F.max("longest").alias("longest")).where(F.col("matched") >= min_words).groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched"), F.max("longest").alias("longest"))
+    # A word of the item counts once, at whichever of the places it is found.
+    told = near.groupBy("doc_id", "item_id", "part").agg(F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("matched"), F.max("longest").alias("longest"))
+    return told.where(F.col("matched") >= min_words).groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched"), F.max("longest").alias("longest"))

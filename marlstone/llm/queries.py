@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from marlstone.llm.copies import copies
 from marlstone.llm.cuts import by_source, cut
 from marlstone.llm.encoding import garbled
-from marlstone.llm.leaks import leaks, proximity
+from marlstone.llm.leaks import index, leaks, proximity
 from marlstone.llm.lookalikes import unified
 from marlstone.llm.packing import fill, packed
 from marlstone.llm.pairs import defects, labelled
@@ -70,11 +70,11 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "gold"))
+    return leaks(index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "gold"))
 
 
 def p8_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return proximity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "gold"))
+    return proximity(index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "gold"))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:

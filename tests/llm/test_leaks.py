@@ -1,7 +1,7 @@
 import random
 import re
 
-from marlstone.llm.leaks import leaks, proximity
+from marlstone.llm.leaks import index, leaks, proximity
 
 WORDS = "the of and maple heron lemon quartz delta moss amber 17 22 903 bank card sum".split()
 
@@ -32,14 +32,23 @@ def test_against_brute_force(spark):
     df = spark.createDataFrame(docs, "doc_id bigint, text string").selectExpr("*", "1 AS token", "2 AS position")
     it = spark.createDataFrame(items, "item_id bigint, sms string").selectExpr("*", "3 AS at", "4 AS n")
     for n in (3, 6):
-        got = {tuple(r) for r in leaks(df, it, n).collect()}
+        got = {tuple(r) for r in leaks(index(df), it, n).collect()}
         assert got == brute(docs, items, n)
-    assert leaks(df.limit(0), it).count() == 0 and leaks(df, it.limit(0)).count() == 0
+    assert leaks(index(df.limit(0)), it).count() == 0 and leaks(index(df), it.limit(0)).count() == 0
 
 
 def test_proximity_bridges_an_inserted_word(spark):
     item = "one two three four five six seven eight nine ten"
     docs = spark.createDataFrame([(1, "x one two three four five EXTRA six seven eight nine ten y"), (2, "one two three")], "doc_id bigint, text string")
     items = spark.createDataFrame([(7, item)], "item_id bigint, sms string")
-    assert [tuple(r) for r in proximity(docs, items, 8).collect()] == [(1, 7, 10, 5)]
-    assert leaks(docs, items, 8).count() == 0
+    assert [tuple(r) for r in proximity(index(docs), items, 8).collect()] == [(1, 7, 10, 5)]
+    assert leaks(index(docs), items, 8).count() == 0
+
+
+def test_one_stored_index_serves_many_searches(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "one two three four five"), (2, "three four five six")], "doc_id bigint, text string")
+    path = f"file://{tmp_path}/index"
+    index(docs, path=path)
+    kept = index(docs.limit(0), path=path)  # read, not built
+    of = lambda sms: sorted(tuple(r) for r in leaks(kept, spark.createDataFrame([(7, sms)], "item_id bigint, sms string"), 3).collect())
+    assert of("Two, three, four") == [(1, 7)] and of("THREE four five") == [(1, 7), (2, 7)] and of("six five four") == []
