@@ -2,7 +2,9 @@
 
 Transducers rewrite a text step by step (styled and look-alike characters, invisible characters, spelled digits, at/dot
 disguises) and carry along where each character came from. Identifiers are detected in the rewritten text; their spans
-are mapped back to source characters, so everything else in the text stays untouched.
+are mapped back to source characters, so everything else in the text stays untouched. Names are found by what announces
+them and by the corpus: words that make up names, of senders or announced ones, are counted over all rows, and two such
+words beside each other are a name wherever they stand.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.functions.textfold import INVISIBLE, LOOKALIKES, SPACES, compat_ascii
-from marlstone.session import require
+from marlstone.session import bounded_broadcast, require, written
 
 TYPES = ["email", "phone", "identity_number", "street_address", "name"]
 
@@ -43,34 +45,36 @@ _SPOKEN_MAIL = re.compile(r"(?i)\b[\w.+-]+ at (?:[\w-]+ dot )+[a-z]{2,}\b")
 
 
 class Traced:
-    """A text with the source position of each of its characters."""
+    """A text with the source span of each of its characters: where it begins (``origin``) and ends (``ends``)."""
 
-    __slots__ = ("text", "origin")
+    __slots__ = ("text", "origin", "ends")
 
-    def __init__(self, text: str, origin: list[int] | None = None):
-        self.text, self.origin = text, origin
+    def __init__(self, text: str, origin: list[int] | None = None, ends: list[int] | None = None):
+        self.text, self.origin, self.ends = text, origin, ends
 
     def rewrite(self, pattern: re.Pattern, to) -> "Traced":
-        """Every match replaced; the characters put in share the origins of the match, spread over it."""
-        parts, origin, at, old = [], [], 0, self.origin
+        """Every match replaced; the characters put in share the source of the match, spread over it, the last up to its end."""
+        parts, begins, ends, at = [], [], [], 0
         for m in pattern.finditer(self.text):
             new = to(m) if callable(to) else to
             parts += [self.text[at : m.start()], new]
-            origin += range(at, m.start())
-            n = m.end() - m.start()
-            origin += [m.start() + k * n // max(1, len(new)) for k in range(len(new))]
+            begins += range(at, m.start())
+            ends += range(at + 1, m.start() + 1)
+            n, size = m.end() - m.start(), len(new)
+            begins += [m.start() + min(k * n // size, n - 1) for k in range(size)]
+            ends += [m.end() if k == size - 1 else m.start() + max(1, (k + 1) * n // size) for k in range(size)]
             at = m.end()
         if not parts:
             return self
         parts.append(self.text[at:])
-        origin += range(at, len(self.text))
-        return Traced("".join(parts), origin if old is None else [old[k] for k in origin])
+        begins += range(at, len(self.text))
+        ends += range(at + 1, len(self.text) + 1)
+        if self.origin is not None:
+            begins, ends = [self.origin[k] for k in begins], [self.ends[k - 1] for k in ends]
+        return Traced("".join(parts), begins, ends)
 
     def span(self, start: int, end: int) -> tuple[int, int]:
-        if self.origin is None:
-            return start, end
-        last = self.origin[end] if end < len(self.origin) else self.origin[-1] + 1
-        return self.origin[start], max(last, self.origin[end - 1] + 1) if end < len(self.origin) else self.origin[end - 1] + 1
+        return (start, end) if self.origin is None else (self.origin[start], self.ends[end - 1])
 
 
 def _spoken(m: re.Match) -> str:
@@ -114,6 +118,7 @@ def _hints() -> ahocorasick.Automaton:
         + ["weg", "straße", "strasse", "allee", "platz", "gasse", "ufer", "str."],
     }
     # Words with what has to stand before and after them.
+    words["general"] = GENERAL
     between = [
         ("spoken", DIGIT_WORDS, _edge, lambda c: c in ",.-" or c.isspace()), ("honoured", ["mr", "mrs", "ms", "miss", "dr", "prof", "herr", "frau"], _edge, lambda c: c == "." or c.isspace()),
         ("address", STREETS.split("|"), str.isspace, _edge), ("address", ["am", "an", "auf", "im", "zum", "zur"], _edge, str.isspace), ("address", ["str"], str.isalpha, str.isspace),
@@ -157,8 +162,12 @@ def hinted(text: str) -> set[str]:
 EMAIL = re.compile(r"(?i)[\w.+%'-]*[\w+%-]@(?:[\w-]+\.)+[a-z]{2,}\b")
 PHONE = re.compile(
     r"(?<![\w+.,/-])(?:\+\d(?:[\s().-]{0,2}\d){7,14}|00[1-9]\d(?:[\s().-]?\d){7,12}|0[1-9]\d{9}|0[\s-]?\d{5}[\s-]\d{5}|0\d{4}[\s-]\d{6}"
+    r"|0\d{2}[\s-]\d{4}[\s-]\d{4}|0\d{3}[\s-]\d{3}[\s-]\d{4}|0\d{4}[\s-]\d{5}"
     r"|\(\d{3}\)[\s.-]?\d{3}[\s.-]?\d{4}|\d{3}([.\s-])\d{3}\1\d{4}|\d{3}\s\d{3}[-.]\d{4})(?![\w-]|[.,]\d)"
 )
+#: Card and account numbers count if their check digits are right; a shape of an identity number within them doesn't.
+CARD = re.compile(r"(?<![\w.,/+*-])(?:\d{4}([\s-]?)\d{4}\1\d{4}\1\d{4}(?:\1\d{1,3})?|\d{4}([\s-])\d{6}\2\d{5}|\d{13,19})(?![\w-]|[.,]\d)")
+IBAN = re.compile(r"(?i)(?<![\w.,/+*-])[a-z]{2}\d{2}(?:\s?[a-z0-9]{4}){2,7}(?:\s?[a-z0-9]{1,3})?(?![\w-])")
 ID_SHAPES = re.compile(
     r"(?i)(?<![\w.,/+*-])(?:\d{4}([\s-])\d{4}\1\d{4}|\d{3}([\s-])\d{2}\2\d{4}|[a-z]{5}\d{4}[a-z]|[a-z]{2}\s\d{2}\s\d{2}\s\d{2}\s[a-z])(?![\w-]|[.,]\d)"
 )
@@ -194,14 +203,63 @@ NAME_AFTER = re.compile(
     rf"|a/?c\s+\S+\s+to{_SEP}(?P<e>{NAME})(?=\s+on\b)|from{_SEP}(?P<f>{NAME})(?=\s+deposited\b))"
     rf"|(?:^|(?<=[\s\"“.]))(?P<g>{NAME})(?=\s+asked\s+for\s+you\b)"
 )
+# Words after which anybody's name stands, and words that never are part of a person's name.
+GENERAL = ["my name is", "dear", "regards", "sincerely", "spoke with", "spoke to", "speaking to", "talked to", "signed by", "sehr geehrte", "grüßen", "cordialement", "atentamente", "estimado", "estimada", "mein name ist", "je m'appelle", "me llamo"]
+NO_NAME = f"{SHOPS}|{STREETS}|bank|card|credit|savings|trust|union|team|desk|support|customers?|clients?|service|branch|insurance|sir|madam|all|friends?|kunden?|cliente|account|user|member|valued|brightwell|bay|hub"
+_CAP = r"[A-ZÀ-ÖØ-ÞĀ-ŽА-Я][\w'’-]*\w"
+NAMED = re.compile(
+    rf"(?i:\b(?:{'|'.join(GENERAL)})(?:r|n|s)?\b[,:.]?\s+)(?:{_HON}\s+)?(?P<n>(?!(?i:{NO_NAME})\b){_CAP}(?:(?:\s[A-Z]\.)?[ ](?!(?i:{NO_NAME})\b){_CAP}){{1,2}})(?!\w|\s+(?i:{NO_NAME})\b)".replace(_HON, f"(?i:{_HON})", 1)
+)
 HONOURED = re.compile(rf"\b(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau)\.?\s+[^\W\d_a-z][^\W\d_]+(?:[-'’][^\W\d_]+)?")
 SENDER_NAME = re.compile(rf"(?i)\s*(?:{_HON}\s+[^\W\d_][\w'’-]+|[^\W\d_][\w'’-]+,\s+[^\W\d_][\w'’-]+|[^\W\d_]\.\s*[^\W\d_][\w'’-]+|[^\W\d_][\w'’-]+\s+(?:[^\W\d_]\.?\s+)?[^\W\d_][\w'’-]+)\s*")
 #: Brand codes: two letters, a separator, then capitals or digits.
 BRAND_CODE = re.compile(r"(?i)\s*[a-z]{2}\s*[-_ ]\s*[a-z0-9]{4,8}\s*")
 
 
-def identifiers(text: str, sender: bool = False) -> list[tuple[int, int, str]]:
-    """Spans in ``text`` itself with their type, in order, not overlapping; the longer wins where two would."""
+def card_checks(digits: str) -> bool:
+    """The check digit of card numbers: every second digit from the right doubled, its digits added, in all a multiple of ten."""
+    turned = [int(c) for c in reversed(digits)]
+    return (sum(turned[::2]) + sum(sum(divmod(2 * d, 10)) for d in turned[1::2])) % 10 == 0
+
+
+def iban_checks(text: str) -> bool:
+    """The check digits of account numbers: the number, its first four characters last, letters as 10 to 35, leaves 1 over 97."""
+    whole = "".join(text.split()).upper()
+    return 15 <= len(whole) <= 34 and int("".join(str(int(c, 36)) for c in whole[4:] + whole[:4])) % 97 == 1
+
+
+def _numbers(s: str, pattern: re.Pattern, right) -> Iterator[tuple[int, int]]:
+    """The longest beginning of each match that ends with a group and whose check digits are right."""
+    for m in pattern.finditer(s):
+        ends = [m.end(), *(m.start() + g.start() for g in reversed(list(re.finditer(r"\s", m[0]))))]
+        if end := next((e for e in ends if right(s[m.start() : e])), None):
+            yield m.start(), end
+
+
+def _card(text: str) -> bool:
+    digits = re.sub(r"\D", "", text)
+    return 13 <= len(digits) <= 19 and card_checks(digits)
+
+
+def _named(s: str, pairs: set[tuple[str, str]]) -> Iterator[tuple[int, int]]:
+    """Words of ``s`` of which each two neighbours are one of ``pairs``."""
+    begin, last = None, None
+    for m in re.finditer(r"[^\W\d_](?:[\w'’-]*\w)?", s):
+        if last is not None and s[last.end() : m.start()] == " " and (last[0].upper(), m[0].upper()) in pairs:
+            begin = last.start() if begin is None else begin
+        elif begin is not None:
+            yield begin, last.end()
+            begin = None
+        last = m
+    if begin is not None:
+        yield begin, last.end()
+
+
+def identifiers(text: str, sender: bool = False, pairs: set[tuple[str, str]] = frozenset()) -> list[tuple[int, int, str]]:
+    """Spans in ``text`` itself with their type, in order; what two hold goes to the earlier, then the longer.
+
+    ``pairs``: neighbouring words, in capitals, that the corpus tells to be a name.
+    """
     t, hints = normalised(text)
     s, found = t.text, []
     digits = any(c.isdigit() for c in s) if sender else True
@@ -213,7 +271,12 @@ def identifiers(text: str, sender: bool = False) -> list[tuple[int, int, str]]:
             if not found and re.fullmatch(r"\s*\+?\d(?:[\s().-]{0,2}\d){9,14}\s*", s):
                 found.append((len(s) - len(s.lstrip()), len(s.rstrip()), "phone"))
         else:
-            found += [(m.start(), m.end(), "identity_number") for m in ID_SHAPES.finditer(s)]
+            if t.origin is not None:  # digits that were spelled in words
+                found += [(m.start(), m.end(), "phone") for m in re.finditer(r"(?<![\w+.,/-])\d{10,15}(?![\w-])", s) if any(c.isalpha() for c in text[slice(*t.span(m.start(), m.end()))])]
+            found += [(*x, "identity_number") for x in _numbers(s, CARD, _card)] + [(*x, "identity_number") for x in _numbers(s, IBAN, iban_checks)]
+            # A shape within something longer is a part of it.
+            longer = [m.span() for p in (CARD, IBAN) for m in p.finditer(s)]
+            found += [(m.start(), m.end(), "identity_number") for m in ID_SHAPES.finditer(s) if not any(a <= m.start() and m.end() <= b for a, b in longer)]
             if "announced" in hints:
                 found += [(*m.span(1), "identity_number") for m in ID_ANNOUNCED.finditer(s)]
             if "address" in hints:
@@ -224,14 +287,21 @@ def identifiers(text: str, sender: bool = False) -> list[tuple[int, int, str]]:
     else:
         if "name" in hints:
             found += [(*m.span(m.lastgroup), "name") for m in NAME_AFTER.finditer(s)]
+        if "general" in hints:
+            found += [(*m.span("n"), "name") for m in NAMED.finditer(s)]
+        if pairs:
+            found += [(*x, "name") for x in _named(s, pairs)]
         if "honoured" in hints:
             found += [(m.start(), m.end(), "name") for m in HONOURED.finditer(s)]
-    out, end = [], -1
+    out: list[list] = []
     for a, b, kind in sorted(found, key=lambda x: (x[0], -x[1])):
-        if a >= end:
-            out.append((*t.span(a, b), kind))
-            end = b
-    return out
+        if out and a < out[-1][1] < b:  # nothing that either holds stays in clear
+            if kind == out[-1][2]:
+                out[-1][1] = b
+            a = b - len(s[out[-1][1] : b].lstrip())
+        if a < b and (not out or a >= out[-1][1]):
+            out.append([a, b, kind])
+    return [(*t.span(a, b), kind) for a, b, kind in out]
 
 
 def redact(text: str, spans: list[tuple[int, int, str]]) -> str:
@@ -242,26 +312,72 @@ def redact(text: str, spans: list[tuple[int, int, str]]) -> str:
     return "".join(parts) + text[at:]
 
 
+def _words(text: str, spans: list[tuple[int, int, str]]) -> list[str]:
+    """The neighbouring words of each name, in capitals, as ``A B``."""
+    out = []
+    for a, b, kind in spans:
+        if kind == "name":
+            words = [w.upper() for w in re.findall(r"[^\W\d_](?:[\w'’-]*\w)", text[a:b])]
+            out += [" ".join(x) for x in zip(words, words[1:])]
+    return out
+
+
 def _searched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         out = []
-        for i, text, sender in zip(b["id"], b["text"], b["sender"]):
-            of_text = identifiers(text) if text else []
+        told = b["pairs"] if "pairs" in b else [()] * len(b)
+        for i, text, sender, pairs in zip(b["id"], b["text"], b["sender"], told):
+            of_text = identifiers(text, pairs={tuple(p.split(" ")) for p in pairs}) if text else []
             of_sender = identifiers(sender, sender=True) if sender and sender != "me" else []
             if of_text or of_sender:
-                out.append((i, redact(text, of_text) if of_text else text, redact(sender, of_sender) if of_sender else sender, sorted({k for *_, k in of_text}), sorted({k for *_, k in of_sender})))
-        yield pd.DataFrame(out, columns=["id", "text", "sender", "text_types", "sender_types"], dtype=object)
+                out.append((i, redact(text, of_text) if of_text else text, redact(sender, of_sender) if of_sender else sender, sorted({k for *_, k in of_text}), sorted({k for *_, k in of_sender}), _words(text, of_text), _words(sender, of_sender)))
+        yield pd.DataFrame(out, columns=["id", "text", "sender", "text_types", "sender_types", "text_names", "sender_names"], dtype=object)
+
+
+#: Capitalised words beside each other, as Java reads them.
+CAPITALISED = r"(?<![\p{L}\p{N}@./_-])\p{Lu}[\p{L}'’-]*\p{L}(?: \p{Lu}[\p{L}'’-]*\p{L})+(?![\p{L}\p{N}@_])"
+#: Names in which a word must occur to count as one that makes up names, and the part of its capitalised pairs that must be names.
+SUPPORT, NAME_SHARE = 3, 0.5
+
+
+def corpus_names(rows: DataFrame, scanned: DataFrame) -> DataFrame:
+    """``(id, pairs)``: neighbouring capitalised words of a text that were not found as a name but are one by the corpus.
+
+    Both words must make up names, of senders or announced in texts, and the pairs that each stands in must mostly be
+    names. All counts are over all rows, combined before they move.
+    """
+    runs = F.transform(F.regexp_extract_all("text", F.lit(f"({CAPITALISED})"), F.lit(1)), lambda r: F.split(F.upper(r), " "))
+    pairs = F.flatten(F.transform(runs, lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda k: F.concat_ws(" ", F.get(w, k), F.get(w, k + 1)))))
+    each = written(rows.where(F.col("text").rlike(CAPITALISED)).select("id", F.explode(F.array_distinct(pairs)).alias("pair")), "capitalised")
+    word = F.explode(F.split("pair", " ")).alias("word")
+    named = scanned.select("id", F.explode("text_names").alias("pair"))
+    in_text = named.groupBy("pair").count().select(word, "count").groupBy("word").agg(F.sum("count").alias("in_text"))
+    of_sender = scanned.select(F.explode("sender_names").alias("pair")).groupBy("pair").count().select(word, "count").groupBy("word").agg(F.sum("count").alias("of_sender"))
+    seen = written(each.groupBy("pair").count(), "pairs")
+    total = seen.select(word, "count").groupBy("word").agg(F.sum("count").alias("total"))
+    known = in_text.join(of_sender, "word", "full").na.fill(0).where(F.col("in_text") + F.col("of_sender") >= SUPPORT)
+    known = known.join(total, "word").where((F.col("in_text") + F.col("of_sender")) >= NAME_SHARE * F.col("total")).select("word")
+    known = bounded_broadcast(written(known, "name-words"))
+    parts = F.split("pair", " ")
+    both = seen.select("pair", parts.getItem(0).alias("a"), parts.getItem(1).alias("b")).join(known.withColumnRenamed("word", "a"), "a", "left_semi").join(known.withColumnRenamed("word", "b"), "b", "left_semi")
+    fresh = each.join(bounded_broadcast(written(both.select("pair"), "name-pairs")), "pair", "left_semi").join(named, ["id", "pair"], "left_anti")
+    return fresh.groupBy("id").agg(F.collect_set("pair").alias("pairs"))
 
 
 def redacted(messages: DataFrame, id_col: str = "id", text_col: str = "text", sender_col: str = "sender") -> DataFrame:
     """``(id, text, sender, text_types, sender_types)`` of each row that holds personal data, placeholders put in.
 
-    Nulls and empty strings hold nothing; repeated rows give repeated results; overlapping finds keep the earlier, then
-    the longer; other columns are ignored. One pass over the rows, no shuffle.
+    Nulls and empty strings hold nothing; repeated rows give repeated results; what overlapping finds share goes
+    to the earlier, then the longer; other columns are ignored. All rows are read once in Python, without a shuffle; only rows with a name
+    that the corpus alone tells are read again.
     """
     rows = require(messages, id_col, text_col, sender_col).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(sender_col).alias("sender"))
     kind = dict(rows.dtypes)["id"]
-    return rows.mapInPandas(_searched, f"id {kind}, text string, sender string, text_types array<string>, sender_types array<string>")
+    found = f"id {kind}, text string, sender string, text_types array<string>, sender_types array<string>, text_names array<string>, sender_names array<string>"
+    scanned = written(rows.mapInPandas(_searched, found), "personal")
+    names = bounded_broadcast(written(corpus_names(rows, scanned), "corpus-names"))
+    again = rows.join(names, "id").mapInPandas(_searched, found)
+    return scanned.join(names.select("id"), "id", "left_anti").unionByName(again).select("id", "text", "sender", "text_types", "sender_types")
 
 
 def personal_types(messages: DataFrame) -> DataFrame:

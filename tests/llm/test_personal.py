@@ -2,7 +2,7 @@ import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
-from marlstone.llm.personal import identifiers, normalised, personal_types, redact
+from marlstone.llm.personal import identifiers, normalised, personal_types, redact, redacted
 
 CASES = [
     ("write me at zoe.radk@mail.example.net today", {"email"}),
@@ -49,11 +49,56 @@ def test_origins_stay_in_order(text):
     t, _ = normalised(text)
     if t.origin is not None:
         assert len(t.origin) == len(t.text) and t.origin == sorted(t.origin)
-        assert all(0 <= o < len(text) for o in t.origin)
+        assert all(0 <= o < e <= len(text) for o, e in zip(t.origin, t.ends))
     for a, b, _ in identifiers(text):
         assert 0 <= a < b <= len(text)
 
 
+@pytest.mark.parametrize("disguised, kind", [
+    ("bob at example dot com", "EMAIL"), ("bob [at] example [dot] com", "EMAIL"), ("bob @ example.com", "EMAIL"), ("b\u200bob@example.co\u00adm", "EMAIL"), ("bob＠example．com", "EMAIL"), ("ＢＯＢ@example.com", "EMAIL"),
+    ("zero seven seven double zero nine double zero zero one seven", "PHONE"), ("zero one two three four five six seven eight nine", "PHONE"), ("５５５-０１２-３４５６", "PHONE"), ("020 7946 0958", "PHONE"),
+    ("4111 1111 1111 1111", "IDENTITY_NUMBER"), ("4111-1111-1111-1111", "IDENTITY_NUMBER"), ("GB82 WEST 1234 5698 7654 32", "IDENTITY_NUMBER"), ("DE89370400440532013000", "IDENTITY_NUMBER"), ("Dr Oﬀ", "NAME"),
+])
+@pytest.mark.parametrize("after", ["", " please"])
+def test_nothing_of_a_disguise_stays(disguised, kind, after):
+    """Every disguise, also as the last words of a text, goes whole."""
+    text = f"send it to {disguised}{after}"
+    assert redact(text, identifiers(text)) == f"send it to <{kind}>{after}"
+
+
+def test_numbers_with_wrong_check_digits_are_not_redacted_in_part():
+    for text in ("order 4111 1111 1111 1112", "ref GB83 WEST 1234 5698 7654 32"):
+        assert identifiers(text) == []
+
+
+#: Sentences that no pattern was written for.
+PLAIN = [
+    ("My name is Anna Schmidt and I wait", "Anna Schmidt"), ("Dear Anna Schmidt, we have news", "Anna Schmidt"), ("All is well. Regards, Thomas Müller", "Thomas Müller"), ("Spoke with Priya Natarajan about it", "Priya Natarajan"),
+    ("Sehr geehrter Thomas Müller, hallo", "Thomas Müller"), ("Mein Name ist Jürgen Klein.", "Jürgen Klein"), ("spoke to Dr. Mary Ann Lee.", "Mary Ann Lee"), ("Cordialement,\nChloé Besson", "Chloé Besson"),
+]
+
+
+@pytest.mark.parametrize("text, name", PLAIN)
+def test_names_in_plain_sentences(text, name):
+    spans = [(a, b) for a, b, k in identifiers(text) if k == "name"]
+    assert len(spans) == 1 and name in text[slice(*spans[0])]
+
+
+@pytest.mark.parametrize("text", ["Dear Customer, pay", "Dear Ostra Savings team", "Regards, Zuma Credit", "Regards,\nZuma Credit care desk", "Dear Sir", "spoke to Copper Kettle Fuels"])
+def test_no_names(text):
+    assert identifiers(text) == []
+
+
+def test_names_by_the_corpus(spark):
+    """Words of names, counted over all senders and announced names, make up names wherever they stand together."""
+    people = [(a, b) for a in ("Ingrid", "Rohan", "Wilma", "Tariq") for b in ("Dravenhall", "Fennick", "Olsberg")]
+    rows = [(k, "ok", f"{a} {b}") for k, (a, b) in enumerate(people)] + [(50 + k, "Copper Kettle has news", "VM-X") for k in range(9)]
+    rows += [(100, "I saw Wilma Fennick and tariq olsberg at Copper Kettle with Rohan Someone", "x"), (101, "Ingrid Olsberg Fennick said so", "x"), (102, None, None), (103, "Ask for Wilma Fennick.", "x"), (None, "Wilma Fennick", "x")]
+    df = spark.createDataFrame(rows, "id bigint, text string, sender string").selectExpr("*", "1 AS pair", "2 AS word")
+    got = {r["id"]: r["text"] for r in redacted(df).where("array_contains(text_types, 'name')").collect()}
+    assert got == {100: "I saw <NAME> and tariq olsberg at Copper Kettle with Rohan Someone", 101: "<NAME> said so", 103: "Ask for <NAME>."}
+
+
 def test_rows(spark):
     rows = [(1, "call +44 7700 900781", "a.b@c.example"), (2, None, None), (3, "", ""), (4, "nothing", "VM-LUMBNK"), (5, "x" * 100_000, "Ingrid Dravenhall"), (5, "x" * 100_000, "Ingrid Dravenhall"), (6, "me", "me"), (7, "t", "5600 0"), (8, "t", "+915555692302")]
     df = spark.createDataFrame(rows, "id bigint, text string, sender string").selectExpr("*", "1 AS types", "2 AS pii_type")
