@@ -165,11 +165,10 @@ PHONE = re.compile(
     r"|0\d{2}[\s-]\d{4}[\s-]\d{4}|0\d{3}[\s-]\d{3}[\s-]\d{4}|0\d{4}[\s-]\d{5}"
     r"|\(\d{3}\)[\s.-]?\d{3}[\s.-]?\d{4}|\d{3}([.\s-])\d{3}\1\d{4}|\d{3}\s\d{3}[-.]\d{4})(?![\w-]|[.,]\d)"
 )
-#: Card and account numbers count if their check digits are right; a shape of an identity number within them doesn't.
-CARD = re.compile(r"(?<![\w.,/+*-])(?:\d{4}([\s-]?)\d{4}\1\d{4}\1\d{4}(?:\1\d{1,3})?|\d{4}([\s-])\d{6}\2\d{5}|\d{13,19})(?![\w-]|[.,]\d)")
-IBAN = re.compile(r"(?i)(?<![\w.,/+*-])[a-z]{2}\d{2}(?:\s?[a-z0-9]{4}){2,7}(?:\s?[a-z0-9]{1,3})?(?![\w-])")
-ID_SHAPES = re.compile(
-    r"(?i)(?<![\w.,/+*-])(?:\d{4}([\s-])\d{4}\1\d{4}|\d{3}([\s-])\d{2}\2\d{4}|[a-z]{5}\d{4}[a-z]|[a-z]{2}\s\d{2}\s\d{2}\s\d{2}\s[a-z])(?![\w-]|[.,]\d)"
+#: Card and account numbers count if their check digits are right; a shape of an identity number within one is a part of it.
+NUMBERS = re.compile(
+    r"(?i)(?<![\w.,/+*-])(?:(?P<card>\d{4}([\s-]?)\d{4}\2\d{4}\2\d{4}(?:\2\d{1,3})?|\d{4}([\s-])\d{6}\3\d{5}|\d{13,19})|(?P<account>[a-z]{2}\d{2}(?:\s?[a-z0-9]{4}){2,7}(?:\s?[a-z0-9]{1,3})?)"
+    r"|(?P<shape>\d{4}([\s-])\d{4}\6\d{4}|\d{3}([\s-])\d{2}\7\d{4}|[a-z]{5}\d{4}[a-z]|[a-z]{2}\s\d{2}\s\d{2}\s\d{2}\s[a-z]))(?![\w-]|[.,]\d)"
 )
 #: After words that announce an identity document, compact forms count too.
 ID_ANNOUNCED = re.compile(
@@ -228,12 +227,16 @@ def iban_checks(text: str) -> bool:
     return 15 <= len(whole) <= 34 and int("".join(str(int(c, 36)) for c in whole[4:] + whole[:4])) % 97 == 1
 
 
-def _numbers(s: str, pattern: re.Pattern, right) -> Iterator[tuple[int, int]]:
-    """The longest beginning of each match that ends with a group and whose check digits are right."""
-    for m in pattern.finditer(s):
-        ends = [m.end(), *(m.start() + g.start() for g in reversed(list(re.finditer(r"\s", m[0]))))]
-        if end := next((e for e in ends if right(s[m.start() : e])), None):
-            yield m.start(), end
+def _numbers(s: str) -> Iterator[tuple[int, int]]:
+    """Identity numbers by shape; of cards and accounts the longest beginning that ends with a group and checks."""
+    for m in NUMBERS.finditer(s):
+        if m["shape"]:
+            yield m.span()
+        else:
+            right = _card if m["card"] else iban_checks
+            ends = [m.end(), *(m.start() + g.start() for g in reversed(list(re.finditer(r"\s", m[0]))))]
+            if end := next((e for e in ends if right(s[m.start() : e])), None):
+                yield m.start(), end
 
 
 def _card(text: str) -> bool:
@@ -273,10 +276,7 @@ def identifiers(text: str, sender: bool = False, pairs: set[tuple[str, str]] = f
         else:
             if t.origin is not None:  # digits that were spelled in words
                 found += [(m.start(), m.end(), "phone") for m in re.finditer(r"(?<![\w+.,/-])\d{10,15}(?![\w-])", s) if any(c.isalpha() for c in text[slice(*t.span(m.start(), m.end()))])]
-            found += [(*x, "identity_number") for x in _numbers(s, CARD, _card)] + [(*x, "identity_number") for x in _numbers(s, IBAN, iban_checks)]
-            # A shape within something longer is a part of it.
-            longer = [m.span() for p in (CARD, IBAN) for m in p.finditer(s)]
-            found += [(m.start(), m.end(), "identity_number") for m in ID_SHAPES.finditer(s) if not any(a <= m.start() and m.end() <= b for a, b in longer)]
+            found += [(*x, "identity_number") for x in _numbers(s)]
             if "announced" in hints:
                 found += [(*m.span(1), "identity_number") for m in ID_ANNOUNCED.finditer(s)]
             if "address" in hints:
