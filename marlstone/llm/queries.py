@@ -47,12 +47,12 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return defects(table(spark, sf_dir, "samples"), table(spark, sf_dir, "gold"))
+    return defects(table(spark, sf_dir, "samples"), table(spark, sf_dir, "gold"), table(spark, sf_dir, "documents"))
 
 
 def p6_by_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many samples of each run have each defect, by field."""
-    found = labelled(table(spark, sf_dir, "samples"), table(spark, sf_dir, "gold"))
+    found = labelled(table(spark, sf_dir, "samples"), table(spark, sf_dir, "gold"), table(spark, sf_dir, "documents"))
     return found.join(table(spark, sf_dir, "samples").select("sample_id", "run_id"), "sample_id").groupBy("run_id", "field", "defect").agg(F.countDistinct("sample_id").alias("n"))
 
 
