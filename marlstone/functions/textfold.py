@@ -23,10 +23,25 @@ LOOKALIKES = {
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O",
     "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X",
     "α": "a", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "υ": "u", "χ": "x", "γ": "y", "η": "n", "τ": "t",
+    "Ꭺ": "A", "Ᏼ": "B", "Ꮯ": "C", "Ꭰ": "D", "Ꭼ": "E", "Ꮐ": "G", "Ꮋ": "H", "Ꭻ": "J", "Ꮶ": "K", "Ꮮ": "L", "Ꮇ": "M", "Ꮲ": "P", "Ꭱ": "R", "Ꮪ": "S", "Ꭲ": "T", "Ꮩ": "V", "Ꮃ": "W", "Ꮓ": "Z",
+    "ꓮ": "A", "ꓐ": "B", "ꓚ": "C", "ꓓ": "D", "ꓰ": "E", "ꓝ": "F", "ꓖ": "G", "ꓧ": "H", "ꓙ": "J", "ꓗ": "K", "ꓡ": "L", "ꓟ": "M", "ꓠ": "N", "ꓳ": "O", "ꓑ": "P", "ꓣ": "R", "ꓢ": "S", "ꓔ": "T", "ꓴ": "U", "ꓦ": "V", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓜ": "Z",
     "ı": "i", "ɑ": "a", "ɡ": "g", "ｌ": "l", "ⅼ": "l", "ꓲ": "I", "ո": "n", "օ": "o", "ս": "u", "հ": "h", "ց": "g", "ԍ": "g",
 }
 
 
+def _small_capitals() -> dict[str, str]:
+    """Small capitals, by their names in the Unicode data."""
+    prefix, out = "LATIN LETTER SMALL CAPITAL ", {}
+    for cp in (*range(0x250, 0x2B0), *range(0x1D00, 0x1D80), *range(0xA730, 0xA800)):
+        name = unicodedata.name(chr(cp), "")
+        if name.startswith(prefix) and len(name) == len(prefix) + 1:
+            out[chr(cp)] = name[-1].lower()
+    return out
+
+
+LOOKALIKES |= _small_capitals()
+
+
 @cache
 def compat_ascii() -> dict[str, str]:
     """Each code point whose compatibility form is one printable ASCII character; made by rule from the Unicode data."""
