@@ -26,8 +26,10 @@ DICTIONARY_BYTES = 64_000
 #: Word counts that a task keeps.
 KEPT = 500_000
 LEVEL = 9
-#: Bytes that a chain costs; a swap of single-byte sets explains any accented letter, so it must save more.
-COST = {"utf8": 1.0, "utf8 twice": 2.0, "single": 4.0}
+#: Characters of segments that are decided about together.
+PART = 2000
+#: Bytes that a chain costs. A swap of single-byte sets explains any accented letter, but has to lead to known words.
+COST = {"utf8": 1.0, "utf8 twice": 2.0, "single": 1.0}
 #: Bytes to spell a character that no dictionary holds. All text is described in UTF-16, so that scripts cost alike.
 ESCAPE = 5.0
 #: A phrase is noise if one of its candidates is this many times as frequent.
@@ -47,9 +49,11 @@ STOPWORDS = {
 
 CYRILLIC = ("cp1251", "koi8_r", "cp866", "mac_cyrillic")
 MARK = re.compile("[\u0300-\u036f]")
-_WORD = r"(?:[^\s]{1,24} )?[^\s]*[^\x00-\x7f][^\s]*(?: [^\s]{1,24})?"
+# From a word's beginning on and without going back, so that long words take no more than their length.
+_ODD = r"[\x00-\x08\x0e-\x1f!-\x7f]*+[^\x00-\x7f][^\s]*+"
+_WORD = rf"(?<![^\s])(?:[^\s]++ )?{_ODD}(?: [^\s]++)?"
 SEGMENT = re.compile(_WORD, re.ASCII)
-NON_ASCII_WORD = re.compile(r"[^\s]*[^\x00-\x7f][^\s]*", re.ASCII)
+NON_ASCII_WORD = re.compile(rf"(?<![^\s]){_ODD}", re.ASCII)
 ZEROS = {ord(c): "0" for c in "123456789"}
 DAMAGE = re.compile("[�\x80-\x9f]")
 
@@ -146,14 +150,25 @@ def phrases(rows: DataFrame, text_col: str) -> tuple[list[tuple[str, str, int]],
     # The language is found before the rows multiply, once for each text.
     found = rows.where(text.rlike(r"[^\x00-\x7f]")).select(language(text).alias("lang"), F.regexp_extract_all(F.regexp_replace(text, "[0-9]", "0"), F.lit(f"({_WORD})"), F.lit(1)).alias("phrases"))
     each = found.select("lang", F.explode_outer("phrases").alias("phrase"))
-    each = each.where((F.length("phrase") <= 60) & ~F.col("phrase").rlike("[\ufffd\u0080-\u009f]"))
+    each = each.where(~F.col("phrase").rlike("[\ufffd\u0080-\u009f]"))
     counted = written(each.groupBy("lang", "phrase").count(), "phrases")
     words = counted.select(F.explode_outer(F.split("phrase", " ")).alias("word"), "count").where(F.col("word").rlike(r"[^\x00-\x7f]")).groupBy("word").agg(F.sum("count").alias("count"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "phrase"))
-    top = counted.withColumn("rank", rank).where(F.col("rank") <= PHRASES).select("lang", "phrase", "count")
+    top = _frequent(counted).withColumn("rank", rank).where(F.col("rank") <= PHRASES).select("lang", "phrase", "count")
     return sorted((tuple(r) for r in top.collect()), key=lambda r: (-r[2], r[0], r[1])), written(words, "words")
 
 
+def _frequent(counted: DataFrame) -> DataFrame:
+    """The phrases as frequent as the ``PHRASES``-th of their language, of equally frequent ones about twice as many as fit.
+
+    How many phrases are how frequent is a small table, so few rows move to be ranked however many partitions there are.
+    """
+    by = Window.partitionBy("lang").orderBy(F.desc("count"))
+    often = counted.groupBy("lang", "count").agg(F.count("*").alias("n")).withColumn("above", F.sum("n").over(by) - F.col("n")).where(F.col("above") < PHRASES)
+    part = often.select("lang", "count", F.least(F.lit(1.0), 2 * (PHRASES - F.col("above")) / F.col("n")).alias("part"))
+    return counted.join(bounded_broadcast(written(part, "phrase-counts")), ["lang", "count"]).where(F.pmod(F.xxhash64("phrase"), F.lit(1_000_000)) < F.col("part") * 1_000_000).drop("part")
+
+
 def _non_ascii(counted: list[tuple[str, str, int]]) -> set[str]:
     return {w for _, p, _ in counted for w in p.split(" ") if not w.isascii()}
 
@@ -234,8 +249,8 @@ class Describer:
         if utf8 and not chain.endswith(CYRILLIC):
             return False
         changed = [(a, b) for a, b in zip(segment.split(), to.split()) if a != b]
-        # A word of two scripts is a look-alike.
-        if chain.endswith(CYRILLIC) and any(re.search("[A-Za-z]", a) and (not utf8 or MARK.search(b)) for a, b in changed):
+        # A word of two scripts is a look-alike, unless it is a known word in UTF-8.
+        if chain.endswith(CYRILLIC) and any(re.search("[A-Za-z]", a) and (not utf8 or MARK.search(b) or b not in self.known) for a, b in changed):
             return True
         # A swap of single-byte sets reads any accented word as another; it has to lead to a known word, and may not trade
         # a known word for a rarer one.
@@ -250,24 +265,42 @@ def undo(text: str, chain: str) -> str:
     return text
 
 
-def _pieces(text: str) -> list[str]:
-    """What is described of a text whose digits read 0; page-long texts are looked at in pieces, so that no cache entry is long."""
-    key = "\n".join(SEGMENT.findall(text))
-    return [key[k : k + 2000] for k in range(0, max(1, len(key)), 2000)]
+def _pieces(text: str) -> list[tuple[int, int, str]]:
+    """``(begin, end, what is described of it)`` of each part of a text whose digits read 0.
+
+    Parts are made of whole segments. A text has one unless its segments have more than ``PART`` characters; then each
+    part is decided by itself.
+    """
+    out: list[list] = [[0, len(text), []]]
+    size = 0
+    for m in SEGMENT.finditer(text):
+        if size and size + len(m[0]) > PART:
+            out[-1][1] = m.start()
+            out.append([m.start(), len(text), []])
+            size = 0
+        out[-1][2].append(m[0])
+        size += len(m[0])
+    return [(begin, end, "\n".join(segments)) for begin, end, segments in out]
 
 
 def asked_of(text: str) -> set[str]:
     """The words whose counts, with those of what chains make of them, decide about a text."""
-    text = text.translate(ZEROS)
-    return {*NON_ASCII_WORD.findall(text), *(w for piece in _pieces(text) for w in piece.split() if not w.isascii())}
+    return set(NON_ASCII_WORD.findall(text.translate(ZEROS)))
 
 
-def chains_of(d: Describer, text: str) -> list[str]:
-    """The chains of ``text``, most often one or none."""
-    text = text.translate(ZEROS)
-    if all(map(d.settled, NON_ASCII_WORD.findall(text))):
-        return []
-    return [c for piece in _pieces(text) if (c := d.choose(piece))]
+def mended(d: Describer, text: str) -> tuple[list[str], str]:
+    """The chains of ``text``, most often one or none, and the text with each undone in its part."""
+    read = text.translate(ZEROS)
+    if all(map(d.settled, NON_ASCII_WORD.findall(read))):
+        return [], text
+    chains, parts = [], []
+    for begin, end, piece in _pieces(read):
+        # Long parts are not worth remembering.
+        chain = d.choose(piece) if len(piece) <= PART else d.choose.__wrapped__(d, piece)
+        parts.append(undo(text[begin:end], chain) if chain else text[begin:end])
+        if chain:
+            chains.append(chain)
+    return chains, "".join(parts)
 
 
 def _asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -295,14 +328,8 @@ def _mended(content: dict[str, bytes]):
                 if len(d.known) > KEPT:
                     d.known.clear()
                 d.known.update((f["to"], f["count"]) for f in (() if facts is None else facts))
-                found = chains_of(d, t)
-                if found:
-                    to = t
-                    for c in dict.fromkeys(found):
-                        to = undo(to, c)
-                elif DAMAGE.search(t):
-                    to = t
-                else:
+                found, to = mended(d, t)
+                if not found and not DAMAGE.search(t):
                     continue
                 out.append((t, found[0] if found else "none", to, bool(DAMAGE.search(to))))
             yield pd.DataFrame(out, columns=["text", "chain", "restored", "lossy"], dtype=object)

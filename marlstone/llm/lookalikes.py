@@ -3,7 +3,8 @@
 Look-alike pairs (single code points and short strings) are joined to transitive classes by union-find; the member most
 frequent in the corpus represents its class; texts are rewritten greedily, the longest member first, with one automaton.
 Members of another script replace each other only inside words that mix scripts, or in words that have no letter of
-their own in a text without any other word of that script: real foreign-language text stays as it is.
+their own in a text without any other word of that script: real foreign-language text stays as it is. Which script a
+word gets depends on its look alone and on letters that only one script has, not on how many letters come from where.
 """
 
 from __future__ import annotations
@@ -40,6 +41,10 @@ def gate(text: Column) -> Column:
     return text.rlike(NOT_PLAIN) | (text.contains(JOINER) & text.rlike(LONE_JOINER))
 
 
+#: Scripts with letters drawn like those of another.
+SCRIPTS = ("latin", "greek", "cyrillic", "armenian", "cherokee", "lisu")
+
+
 class UnionFind:
     """Classes of strings under the pairs joined so far."""
 
@@ -77,6 +82,10 @@ def script(ch: str) -> str:
         return "cyrillic"
     if 0x530 <= cp <= 0x58F:
         return "armenian"
+    if 0x13A0 <= cp <= 0x13FF:
+        return "cherokee"
+    if 0xA4D0 <= cp <= 0xA4FF:
+        return "lisu"
     return "other" if ch.isalpha() else ""
 
 
@@ -120,7 +129,7 @@ class Forms:
             best = "" if "" in members else " " if " " in members else order[0]
             plain = {}
             for m in order:
-                if len(m) == 1 and (s := script(m)) in ("latin", "greek", "cyrillic", "armenian"):
+                if len(m) == 1 and (s := script(m)) in SCRIPTS:
                     plain.setdefault(s, m)
             for m in members:
                 own = script(m) if len(m) == 1 else ""
@@ -172,15 +181,17 @@ class Forms:
                     return w  # a real word of its script
                 to = "latin"
             else:
-                # Letters that nothing of another script looks like decide, then the majority.
+                # Letters that nothing of another script looks like decide, first the word's, then the text's. A word that
+                # could be of any script is Latin, however many of its letters are: all its mixtures come out equal.
                 sure = Counter(script(ch) for ch in w if script(ch) and not any(ch in t for t in self.by_script.values()))
-                to = max(scripts, key=lambda s: (sure[s], own[s] > 0, scripts[s], s == "latin"))
+                foreign = {s for s in own if s != "latin" and own[s]}
+                to = max(sorted({*scripts, "latin"} if not sure else scripts), key=lambda s: (sure[s], s in foreign and "latin" not in own, s == "latin", scripts[s]))
             return "".join(self.by_script[to].get(ch, ch) if script(ch) not in ("", to) else ch for ch in w)
 
         return WORD.sub(word, text)
 
 
-FOREIGN = re.compile("[Ͱ-֏ἀ-῿ɑɡı]")
+FOREIGN = re.compile("[Ͱ-֏ἀ-῿Ꭰ-\u13ffꓐ-\ua4ffɑɡı]")
 WORD = re.compile(r"[^\W_]+")
 _MARKED = re.compile(f"[^\\W\\d_][{_MARKS}]{{1,2}}")
 

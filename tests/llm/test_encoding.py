@@ -65,3 +65,13 @@ def test_rare_words_count(spark):
     bad = "Ihr Paket liegt bei zzschöneberg bereit 7".encode("cp1252").decode("mac_roman")
     got = {r["id"]: r["restored"] for r in garbled(spark.createDataFrame([*rows, (99_999, bad)], "id bigint, text string")).collect()}
     assert got == {99_999: "Ihr Paket liegt bei zzschöneberg bereit 7"}
+
+
+def test_no_result_depends_on_length(spark):
+    """A garbled sentence is found and restored, and a clean one left alone, whatever stands around them and however long their words are."""
+    clean, bad = "Zahlung bestätigt, schöne Grüße von Café Lumière", "Zahlung bestätigt, schöne Grüße von Café Lumière".encode().decode("cp1252")
+    long = "ü".join(["lang"] * 60)
+    rows = [(k, f"{clean} {k} {long}") for k in range(40)]
+    rows += [(100, bad + " ok" * 20_000), (101, "ok " * 20_000 + bad), (102, f"{clean}. " * 300 + bad), (103, f"{clean}. " * 300), (104, "x" * 200_000 + " " + bad), (105, f"{long.encode().decode('cp1252')} da"), (106, "a" * 100_000 + "é")]
+    got = {r["id"]: r["restored"] for r in garbled(spark.createDataFrame(rows, "id bigint, text string")).collect()}
+    assert got == {100: clean + " ok" * 20_000, 101: "ok " * 20_000 + clean, 102: f"{clean}. " * 300 + clean, 104: "x" * 200_000 + " " + clean, 105: f"{long} da"}
