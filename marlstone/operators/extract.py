@@ -56,21 +56,18 @@ def which_extractor(text: Column) -> Column:
     return out
 
 
-def _lookup(name: Column, values: dict[str, object]) -> Column:
-    return F.try_element_at(F.create_map(*(F.lit(x) for kv in values.items() for x in kv)), name)
-
-
 def record_of(text: Column, name: Column) -> Column:
     """The record that the extractor called ``name`` reads; null for a null name or a text that it doesn't match.
 
-    The pattern and its groups are looked up by name, so the expression is as large for one extractor as for all.
+    Each pattern is a literal in its own branch, so it is compiled once, not for each row.
     """
-    pattern = _lookup(name, {n: regex(p, dotall=True) for n, p, *_ in P.EXTRACTORS})
-    group = lambda k: F.call_function("regexp_extract", text, pattern, _lookup(name, {n: g[k] for n, _, _, g in P.EXTRACTORS}))
-    kind = _lookup(name, {n: k for n, _, k, _ in P.EXTRACTORS})
-    nobody = _lookup(name, {n: g[2] for n, _, _, g in P.EXTRACTORS}) == 0
-    read = F.struct(name.alias("name"), kind.alias("kind"), nobody.alias("nobody"), *(group(k).alias(f"g{k}") for k in range(4)))
-    return F.when(name.isNotNull() & F.rlike(text, pattern), let(read, _record))
+    read = None
+    for n, pattern, kind, groups in P.EXTRACTORS:
+        p = regex(pattern, dotall=True)
+        parts = F.struct(F.lit(n).alias("name"), F.lit(kind).alias("kind"), F.lit(groups[2] == 0).alias("nobody"), *(F.regexp_extract(text, p, g).alias(f"g{k}") for k, g in enumerate(groups)))
+        hit = (name == n) & text.rlike(p)
+        read = F.when(hit, parts) if read is None else read.when(hit, parts)
+    return let(read, lambda r: F.when(r.isNotNull(), _record(r)))
 
 
 def _record(r: Column) -> Column:

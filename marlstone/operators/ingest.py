@@ -18,11 +18,14 @@ def apple_time(ns: Column) -> Column:
 
 
 def epoch_seconds(text: Column) -> Column:
-    return F.timestamp_seconds(text.try_cast("double")).cast("timestamp_ntz")
+    """Seconds since 1970, with a fraction or not, up to the year 9999; null for any other text."""
+    number = F.when(text.rlike(r"^[0-9]{1,12}(?:\.[0-9]+)?$"), text.try_cast("double"))
+    return F.timestamp_seconds(F.when(number < 253_402_300_800, number)).cast("timestamp_ntz")
 
 
 def iso_time(text: Column) -> Column:
-    return text.try_cast("timestamp_ntz")
+    """A date with a time of day to the microsecond at most, without zone; null for any other text and impossible ones."""
+    return F.when(text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}:[0-9]{2}(?:\.[0-9]{1,6})?$"), text.try_cast("timestamp_ntz"))
 
 
 def attributed_body(blob: Column) -> Column:

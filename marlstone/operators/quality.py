@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.operators.funnel import not_own, sender_category
+from marlstone.session import parallelism, written
 
 
 def id_profile(df: DataFrame, id_col: str = "id") -> DataFrame:
@@ -16,20 +22,38 @@ def id_profile(df: DataFrame, id_col: str = "id") -> DataFrame:
     return p.select("*", F.coalesce(exact, F.lit(False)).alias("exact_sequence"), F.coalesce(F.col("max_id") - F.col("min_id") + 1 == F.col("distinct_ids"), F.lit(False)).alias("contiguous"))
 
 
+def _gaps_within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of sorted ids: each two neighbours with a gap between them, and the partition's first and last id."""
+    part, first, last = TaskContext.get().partitionId(), None, None
+
+    def out(edge: bool, before: list, after: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"part": pa.array([part] * len(before), pa.int32()), "edge": pa.array([edge] * len(before), pa.bool_()), "i": pa.array(before, pa.int64()), "next": pa.array(after, pa.int64())})
+
+    for b in batches:
+        ids = b.column(0).to_numpy()
+        if len(ids):
+            first = ids[0] if first is None else first
+            known = ids if last is None else np.concatenate([[last], ids])
+            at = np.flatnonzero(known[1:] != known[:-1] + 1)
+            yield out(False, known[at], known[at + 1])
+            last = ids[-1]
+    if last is not None:
+        yield out(True, [first], [last])
+
+
 def id_gaps(df: DataFrame, id_col: str = "id") -> DataFrame:
     """``(gap_start, gap_end, missing)`` between neighbouring ids.
 
-    Ids are sorted in ranges; each range's neighbour is looked up by its first id, so no task sees all ids and no list of
-    expected ids is made.
+    Ids are sorted in ranges of about equal size, however far apart they are; only the first and last id of each range,
+    one row for each task, are put side by side to join the ranges up, and no list of expected ids is made. A gap too wide
+    for a whole number of 64 bits has a null number.
     """
     i = df.select(F.col(id_col).try_cast("long").alias("i")).where("i IS NOT NULL").distinct()
-    # A block of ids is one window; the last id of a block meets the first of the next non-empty block.
-    block = F.call_function("div", F.col("i"), F.lit(1_000_000).cast("long"))
-    within = i.withColumn("b", block).withColumn("next", F.lead("i").over(Window.partitionBy("b").orderBy("i")))
-    inner = within.where("next > i + 1").select("i", "next")
-    ends = within.groupBy("b").agg(F.min("i").alias("lo"), F.max("i").alias("hi"))
-    across = ends.withColumn("next", F.lead("lo").over(Window.orderBy("b"))).where("next > hi + 1").select(F.col("hi").alias("i"), "next")
-    return inner.unionByName(across).select((F.col("i") + 1).alias("gap_start"), (F.col("next") - 1).alias("gap_end"), (F.col("next") - F.col("i") - 1).alias("missing"))
+    ranges = i.repartitionByRange(parallelism(df.sparkSession), "i").sortWithinPartitions("i")
+    found = written(ranges.mapInArrow(_gaps_within, "part int, edge boolean, i bigint, next bigint"), "gaps")
+    ends = found.where("edge").select(F.col("next").alias("i"), F.lead("i").over(Window.orderBy("part")).alias("next")).where("next > i + 1")
+    both = found.where("NOT edge").select("i", "next").unionByName(ends)
+    return both.select((F.col("i") + 1).alias("gap_start"), (F.col("next") - 1).alias("gap_end"), F.try_subtract(F.col("next") - 1, F.col("i")).alias("missing"))
 
 
 def missing_ids(df: DataFrame, id_col: str = "id") -> DataFrame:

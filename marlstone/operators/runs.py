@@ -117,3 +117,9 @@ def sweep(models: DataFrame, quants: DataFrame, budgets: DataFrame, weights: Dat
     plan = models.crossJoin(F.broadcast(quants)).join(weights.select("model_id", "quant"), ["model_id", "quant"], "left_semi")
     with_budget = plan.where("thinking").crossJoin(F.broadcast(budgets.select("thinking_budget")))
     return with_budget.unionByName(plan.where("NOT thinking").withColumn("thinking_budget", F.lit(0).cast("long")))
+
+
+def tally(variants: DataFrame) -> DataFrame:
+    """``(passed, failed, failed_variants)`` of ``(variant, ok)``; variants are a configuration, so their names fit a row."""
+    failed = F.array_join(F.array_sort(F.collect_list(F.when(~F.col("ok"), F.col("variant")))), ",")
+    return variants.agg(F.count_if("ok").alias("passed"), F.count_if(~F.col("ok")).alias("failed"), failed.alias("failed_variants"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import os
 import sqlite3
 import struct
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from marlstone.operators import answers as A
@@ -14,6 +15,7 @@ from marlstone.operators import runs as R
 from marlstone.plans.messages import _counts, _funnel
 from marlstone.session import put, scratch, table
 from marlstone.sources import files, gguf, sqlite
+from marlstone.sources.paths import opened
 from marlstone.streaming import funnel as stream
 
 QUERIES: dict = {}
@@ -99,18 +101,37 @@ def src6(spark, d):
     return files.read_runs(spark, *roots).select("slug", "quant", "n_ctx")
 
 
-@register("src1_sqlite", "SELECT rowid, id FROM handle")
+_MESSAGE = "rowid date handle_id text is_from_me service".split()
+_SCAN = "SELECT m.rowid AS id, m.date, CASE WHEN m.is_from_me = 1 THEN 'me' ELSE h.id END AS sender, m.text, coalesce(m.service, '') AS service {} FROM message m LEFT JOIN handle h ON m.handle_id = h.rowid WHERE m.date > 0"
+
+
+@register("src1_sqlite", _SCAN.format(""))
 def src1(spark, d):
-    """SRC1: the handles out of an SQLite file, in four ranges. The file is made of a table of fixed size."""
+    """SRC1: the message scan with its join, CASE and filter, run by SQLite over files of messages in ranges.
+
+    Each task writes its own messages into a file of the shared folder; the handles, a table of fixed size, go into all.
+    """
+    handles, at = [tuple(r) for r in table(spark, d, "handle").select("rowid", "id").collect()], scratch(spark, "databases")
+
+    def write(batches):
+        con = sqlite3.connect(":memory:")
+        con.execute("CREATE TABLE handle (rowid INTEGER, id TEXT)")
+        con.execute(f"CREATE TABLE message ({', '.join(_MESSAGE)})")
+        con.executemany("INSERT INTO handle VALUES (?, ?)", handles)
+        for b in batches:
+            con.executemany(f"INSERT INTO message VALUES ({', '.join('?' * len(_MESSAGE))})", zip(*(c.to_pylist() for c in b.columns)))
+        con.commit()
+        path = f"{at}/part-{TaskContext.get().partitionId()}.db"
+        system, inside = opened(path)
+        system.create_dir(inside.rpartition("/")[0], recursive=True)
+        with system.open_output_stream(inside) as f:
+            f.write(con.serialize())
+        yield pa.RecordBatch.from_pydict({"path": pa.array([path])})
+
+    table(spark, d, "message").select(*_MESSAGE).mapInArrow(write, "path string").count()
     sqlite.register(spark)
-    rows = [tuple(r) for r in table(spark, d, "handle").select("rowid", "id").collect()]
-    con = sqlite3.connect(":memory:")
-    con.execute("CREATE TABLE handle (ROWID INTEGER PRIMARY KEY, id TEXT)")
-    con.executemany("INSERT INTO handle VALUES (?, ?)", rows)
-    con.commit()
-    at = scratch(spark, "handles") + ".db"
-    put(spark, at, con.serialize())
-    return spark.read.format("sqlite").schema("rowid bigint, id string").options(path=at.replace("file://", "").replace("file:", ""), dbtable="handle", partitions="4").load()
+    options = {"path": at, "query": _SCAN.format(", m._rowid_ AS k"), "key": "k", "partitions": "4"}
+    return spark.read.format("sqlite").schema("id bigint, date bigint, sender string, text string, service string").options(**options).load()
 
 
 def _header(n: int) -> bytes:
@@ -122,16 +143,22 @@ def _header(n: int) -> bytes:
 
 @register("src8_weight_headers", "SELECT run_id, n_ctx AS context_length FROM runs")
 def src8(spark, d):
-    make = F.pandas_udf(lambda s: s.map(_header), "binary")
-    return table(spark, d, "runs").select("run_id", gguf.header_context_length(make("n_ctx")).alias("context_length"))
+    """SRC8: headers of weight files, one for each run of a configuration table."""
+    at = scratch(spark, "weights")
+    for r in table(spark, d, "runs").select("run_id", "n_ctx").collect():
+        put(spark, f"{at}/{r['run_id']}.gguf", _header(r["n_ctx"]))
+    gguf.register(spark)
+    return spark.read.format("gguf").load(f"{at}/*.gguf").select(F.regexp_extract("path", r"([^/]+)\.gguf$", 1).alias("run_id"), "context_length")
 
 
-@register("src11_file_sizes")
+@register("src11_file_sizes", "SELECT fileid AS path, octet_length(encode(coalesce(relativepath, ''))) / 1048576.0::DOUBLE AS mb FROM backup_files UNION ALL SELECT 'absent', 0.0")
 def src11(spark, d):
-    """SRC9, SRC10 and SRC11 over the input files themselves."""
-    f = files.listing(spark, d, "*.parquet").select(F.regexp_extract("path", r"([^/]+)$", 1).alias("path"), "modified_at", "bytes")
-    asked = f.select("path").unionByName(spark.createDataFrame([("absent.parquet",)], "path string"))
-    return files.size_mb(asked, f)
+    """SRC11: sizes of files in a folder, those of a table of fixed size, and of one that isn't there."""
+    at, rows = scratch(spark, "sized"), table(spark, d, "backup_files").select("fileid", "relativepath").collect()
+    for r in rows:
+        put(spark, f"{at}/{r['fileid']}", (r["relativepath"] or "").encode())
+    f = files.listing(spark, at).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("path"), "modified_at", "bytes")
+    return files.size_mb(spark.createDataFrame([(r["fileid"],) for r in rows] + [("absent",)], "path string"), f)
 
 
 @register("snk5_report")
@@ -151,7 +178,9 @@ def stream_funnel_counts(spark, d):
     """The funnel as a stream over the message files, everything that has arrived."""
     name = "all_sms.parquet"
     at = f"{d}/{name}"
-    path, glob = (at, "*.parquet") if os.path.isdir(at) else (d, name)
+    # A table is a file or, as Spark writes it, a folder of files.
+    system, inside = opened(at)
+    path, glob = (at, "*.parquet") if not system.get_file_info(inside).is_file else (d, name)
     schema = table(spark, d, "all_sms").schema
     out, checkpoint = scratch(spark, "stream-out"), scratch(spark, "stream-checkpoint")
     stream.append(stream.flagged(stream.arriving(spark, path, schema, glob)), out, checkpoint).awaitTermination()

@@ -11,6 +11,7 @@ from marlstone.operators import predict as M
 from marlstone.operators import runs as R
 from marlstone.plans.sqltext import collapse, lit, strip
 from marlstone.session import table
+from marlstone.sources import files
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -223,9 +224,9 @@ def win3(spark, d):
     return R.interleaved(table(spark, d, "samples")).select("sample_id")
 
 
-@register("win5_last_write", "SELECT run_id, doc_id, max(sample_id) AS sample_id, arg_max(target, sample_id) AS target FROM samples WHERE target IS NOT NULL GROUP BY run_id, doc_id")
+@register("win5_last_write", "SELECT run_id, doc_id, sample_id, target FROM samples QUALIFY row_number() OVER (PARTITION BY run_id, doc_id ORDER BY sample_id DESC) = 1")
 def win5(spark, d):
-    return R.last_write(table(spark, d, "samples").where("target IS NOT NULL")).select("run_id", "doc_id", "sample_id", "target")
+    return R.last_write(table(spark, d, "samples")).select("run_id", "doc_id", "sample_id", "target")
 
 
 @register("fn10_quants", "SELECT run_id, CASE WHEN regexp_matches(p, " + lit(P.QUANT) + ") THEN regexp_extract(p, " + lit(P.QUANT) + ", 1) ELSE '?' END AS quant, replace(model_id, '/', '__') AS slug FROM (SELECT *, replace(model_id, '/', '__') || '-' || quant || '.gguf' AS p FROM runs)")
@@ -288,6 +289,17 @@ def agg15(spark, d):
     return table(spark, d, "samples").groupBy("run_id").agg(F.count_if(v >= 0.999).alias("passed"), F.count_if(v < 0.999).alias("failed"))
 
 
+@register(
+    "agg15_failed_variants",
+    "SELECT count_if(ok)::BIGINT AS passed, count_if(NOT ok)::BIGINT AS failed, coalesce(string_agg(run_id, ',' ORDER BY run_id) FILTER (NOT ok), '') AS failed_variants "
+    "FROM (SELECT run_id, coalesce(best >= 0.5, false) AS ok FROM runs LEFT JOIN (SELECT run_id, avg(full_match_accuracy) AS best FROM samples GROUP BY run_id) USING (run_id))",
+)
+def agg15_variants(spark, d):
+    """How many variants passed and failed, and which failed; one without samples has failed."""
+    mean = table(spark, d, "samples").groupBy("run_id").agg(F.avg("full_match_accuracy").alias("mean"))
+    return R.tally(table(spark, d, "runs").select("run_id").join(mean, "run_id", "left").select(F.col("run_id").alias("variant"), F.coalesce(F.col("mean") >= 0.5, F.lit(False)).alias("ok")))
+
+
 @register("fn15_verdicts", "SELECT sample_id, CASE WHEN full_match_accuracy >= 0.999 THEN 'match' ELSE 'miss' END AS verdict FROM samples")
 def fn15(spark, d):
     return table(spark, d, "samples").select("sample_id", F.when(F.col("full_match_accuracy") >= 0.999, "match").otherwise("miss").alias("verdict"))
@@ -356,6 +368,17 @@ def join8(spark, d):
     return s.where("few_shot_leakage_rate = 1").select("sample_id")
 
 
+_SHOWN = [a for _, _, a in A.EXEMPLARS]
+
+
+@register("join8_shown_leaks", f"SELECT sample_id FROM (SELECT sample_id, target, [{', '.join(lit(a) for a in _SHOWN)}][doc_id % {len(_SHOWN)} + 1] AS said FROM samples) WHERE {_kind('target')} = 'null' AND {_kind('said')} = 'object'")
+def join8_shown(spark, d):
+    """The leak metric where every answer repeats what an exemplar of the prompt shows."""
+    said = F.element_at(F.array(*map(F.lit, _SHOWN)), (F.col("doc_id") % len(_SHOWN) + 1).cast("int"))
+    pairs = table(spark, d, "samples").select("sample_id", "target", said.alias("prediction"))
+    return A.scored(pairs, keep=("sample_id",)).where("few_shot_leakage_rate = 1").select("sample_id")
+
+
 @register("src12_first_response_thinks", f"SELECT run_id, coalesce(contains(arg_min_null({_RAW}, sample_id), '<think>'), false) AS thinking FROM samples GROUP BY run_id")
 def src12(spark, d):
     first = F.min_by(F.coalesce(A.first_response(F.col("resps")), F.lit("")), "sample_id")
@@ -393,14 +416,13 @@ def udf4(spark, d):
     return A.scored(pairs, keep=("doc_id",))
 
 
-@register("src9_newest_backup", "SELECT tz, arg_max(fileid, fileid) AS fileid FROM backup_files WHERE tz IS NOT NULL GROUP BY tz")
+@register("src9_newest_backup", "SELECT run_id AS path FROM runs ORDER BY started_at DESC NULLS LAST, run_id DESC LIMIT 1")
 def src9(spark, d):
-    """SRC9's choice of the greatest by a key, for each zone."""
-    return table(spark, d, "backup_files").where("tz IS NOT NULL").groupBy("tz").agg(F.max_by("fileid", "fileid").alias("fileid"))
+    """SRC9: the file changed last, of runs listed as files."""
+    return files.newest(table(spark, d, "runs").select(F.col("run_id").alias("path"), F.col("started_at").alias("modified_at")))
 
 
-@register("src10_smallest_document", "SELECT source, arg_min(doc_id, n_chars * 10000000 + doc_id) AS doc_id FROM documents GROUP BY source")
+@register("src10_smallest_document", "SELECT doc_id::VARCHAR AS path FROM documents WHERE n_chars IS NOT NULL ORDER BY n_chars, doc_id::VARCHAR LIMIT 1")
 def src10(spark, d):
-    """SRC10's choice of the smallest, for each source."""
-    return table(spark, d, "documents").groupBy("source").agg(F.min_by("doc_id", F.struct("n_chars", "doc_id")).alias("doc_id"))
-
+    """SRC10: the smallest file, of documents listed as files."""
+    return files.smallest(table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("n_chars").alias("bytes")).where("bytes IS NOT NULL"))

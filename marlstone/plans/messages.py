@@ -86,17 +86,12 @@ def fn7(spark, d):
     return table(spark, d, "message").where("date > 0").select(F.col("rowid").alias("id"), I.apple_time(F.col("date")).alias("sent_at"))
 
 
-@register("fn6_attributed_body")
-def fn6(spark, d):
-    return table(spark, d, "message").where("attributedbody IS NOT NULL").select(F.col("rowid").alias("id"), I.attributed_body(F.col("attributedbody")).alias("text"))
-
-
 _REST = "regexp_extract(hex(attributedbody), '^(?:[0-9A-F]{2})*?4E53537472696E67((?:[0-9A-F]{2})*)$', 1)"
 _AFTER = f"regexp_extract({_REST}, '^(?:[0-9A-F]{{2}})*?012B((?:[0-9A-F]{{2}})*)$', 1)"
 _BYTE = lambda k: f"try_cast('0x' || substr(h, {2 * k + 1}, 2) AS BIGINT)"
 _SIZE = f"CASE WHEN {_BYTE(0)} < 128 THEN {_BYTE(0)} WHEN {_BYTE(0)} = 129 THEN {_BYTE(1)} + 256 * {_BYTE(2)} WHEN {_BYTE(0)} = 130 THEN {_BYTE(1)} + 256 * {_BYTE(2)} + 65536 * {_BYTE(3)} + 16777216 * {_BYTE(4)} END"
 _SKIP = f"CASE {_BYTE(0)} WHEN 129 THEN 6 WHEN 130 THEN 10 ELSE 2 END"
-_BODY = f"(SELECT rowid, date, text, CASE WHEN length(h) > 0 AND ({_SIZE}) IS NOT NULL THEN substr(h, {_SKIP} + 1, 2 * ({_SIZE})) END AS body FROM (SELECT *, {_AFTER} AS h FROM message))"
+_BODY = f"(SELECT rowid, date, text, handle_id, is_from_me, service, attributedbody, CASE WHEN length(h) > 0 AND ({_SIZE}) IS NOT NULL THEN substr(h, {_SKIP} + 1, 2 * ({_SIZE})) END AS body FROM (SELECT *, {_AFTER} AS h FROM message))"
 
 
 @register("fn6_attributed_bytes", f"SELECT rowid AS id, body FROM {_BODY} AS b WHERE body IS NOT NULL")
@@ -105,7 +100,21 @@ def fn6_bytes(spark, d):
     return m.where("body IS NOT NULL")
 
 
-@register("flt5_exported")
+# A sequence that the end cuts off becomes one replacement character.
+_CLEAN = "regexp_replace(body, '^((?:[0-9A-F]{2})*?)(?:C[2-9A-F]|D[0-9A-F]|E[0-9A-F](?:[89AB][0-9A-F])?|F[0-4](?:[89AB][0-9A-F]){0,2})$', '\\1')"
+_DECODED = f"decode(unhex({_CLEAN})) || CASE WHEN {_CLEAN} <> body THEN chr(65533) ELSE '' END"
+
+
+@register("fn6_attributed_body", f"SELECT rowid AS id, {_DECODED} AS text FROM {_BODY} AS b WHERE attributedbody IS NOT NULL")
+def fn6(spark, d):
+    return table(spark, d, "message").where("attributedbody IS NOT NULL").select(F.col("rowid").alias("id"), I.attributed_body(F.col("attributedbody")).alias("text"))
+
+
+@register(
+    "flt5_exported",
+    f"SELECT * FROM (SELECT b.rowid AS id, {_TIME} AS date, coalesce(CASE WHEN is_from_me = 1 THEN 'me' ELSE h.id END, '') AS sender, CASE WHEN {strip('text')} <> '' THEN text WHEN {strip('decoded')} <> '' THEN decoded END AS text, "
+    f"CAST(is_from_me AS BOOLEAN) AS is_from_me, coalesce(service, '') AS service FROM (SELECT *, {_DECODED} AS decoded FROM {_BODY} AS x) AS b LEFT JOIN (SELECT rowid AS handle, id FROM handle) AS h ON b.handle_id = h.handle WHERE date > 0) WHERE text IS NOT NULL",
+)
 def flt5(spark, d):
     return I.exported(table(spark, d, "message"), table(spark, d, "handle"))
 
@@ -282,7 +291,10 @@ def sql_date(x: str) -> str:
     )
 
 
-def _extract_sql() -> str:
+_FIELDS = "amount counterparty date type account".split()
+
+
+def _extract_sql(source: str = BANK_SQL) -> str:
     rows = []
     for k, (name, pattern, kind, (a, acc, who, when)) in enumerate(P.EXTRACTORS):
         p = lit(re2(pattern))
@@ -298,7 +310,7 @@ def _extract_sql() -> str:
             f"SELECT id, {k} AS k, '{name}' AS extractor, try_cast(replace({g(a)}, ',', '') AS DOUBLE) AS amount, {counterparty} AS counterparty, "
             f"{sql_date(g(when))} AS date, '{kind}' AS type, {strip(g(acc))} AS account FROM sms WHERE regexp_matches(text, {p}, 'is')"
         )
-    return f"WITH sms AS {BANK_SQL}, hits AS ({' UNION ALL '.join(rows)}) SELECT id, extractor, amount, counterparty, date, type, account FROM hits QUALIFY row_number() OVER (PARTITION BY id ORDER BY k) = 1"
+    return f"WITH sms AS {source}, hits AS ({' UNION ALL '.join(rows)}) SELECT id, extractor, amount, counterparty, date, type, account FROM hits QUALIFY row_number() OVER (PARTITION BY id ORDER BY k) = 1"
 
 
 @register("ext_first_match", _extract_sql())
@@ -309,15 +321,17 @@ def ext_first_match(spark, d):
     return named.select("id", "extractor", X.record_of(F.col("text"), F.col("extractor")).alias("x")).select("id", "extractor", "x.*")
 
 
-@register("ext_all_sms")
+@register("ext_all_sms", f"SELECT id, {', '.join(_FIELDS)} FROM ({_extract_sql('(SELECT id, text FROM all_sms)')})")
 def ext_all_sms(spark, d):
     m = table(spark, d, "all_sms")
     return m.select("id", X.transaction(F.col("text")).alias("x")).where("x IS NOT NULL").select("id", "x.*")
 
 
-@register("fn2_amount", "SELECT id, try_cast(replace(a, ',', '') AS DOUBLE) AS amount FROM (SELECT id, nullif(regexp_extract(text, '[0-9][0-9,]*(?:\\.[0-9]+)?', 0), '') AS a FROM all_sms) WHERE a IS NOT NULL")
+@register("fn2_amount", "SELECT id, place::INTEGER AS place, try_cast(replace(a, ',', '') AS DOUBLE) AS amount FROM (SELECT id, unnest(m) AS a, generate_subscripts(m, 1) - 1 AS place FROM (SELECT id, regexp_extract_all(text, '[0-9][0-9,]*(?:\\.[0-9]+)?') AS m FROM all_sms))")
 def fn2(spark, d):
-    return table(spark, d, "all_sms").select("id", F.nullif(F.regexp_extract("text", r"[0-9][0-9,]*(?:\.[0-9]+)?", 0), F.lit("")).alias("a")).where("a IS NOT NULL").select("id", X.amount(F.col("a")).alias("amount"))
+    """Every number of every text."""
+    found = F.regexp_extract_all("text", F.lit(r"([0-9][0-9,]*(?:\.[0-9]+)?)"), F.lit(1))
+    return table(spark, d, "all_sms").select("id", F.posexplode(found).alias("place", "a")).select("id", "place", X.amount(F.col("a")).alias("amount"))
 
 
 @register("fn3_date", f"SELECT id, {sql_date('date')} AS day FROM all_sms WHERE date IS NOT NULL")
@@ -334,6 +348,13 @@ def fn4(spark, d):
     return bank_messages(spark, d).where("text IS NOT NULL").select("id", X.transaction_category(F.col("text")).alias("cat"))
 
 
+@register("fn4_category_all_sms", f"SELECT id, {_cases(P.TRANSACTION_CATEGORIES, True)} AS cat, {has('text', P.FALSE_POSITIVE)} AS false_positive FROM all_sms WHERE text IS NOT NULL")
+def fn4_all(spark, d):
+    """FN4 and FLT6 over the exported messages."""
+    t = F.col("text")
+    return table(spark, d, "all_sms").where("text IS NOT NULL").select("id", X.transaction_category(t).alias("cat"), X.false_positive(t).alias("false_positive"))
+
+
 @register("fn5_other_category", f"SELECT id, {_cases(P.OTHER_CATEGORIES, False)} AS cat FROM all_sms WHERE text IS NOT NULL")
 def fn5(spark, d):
     return table(spark, d, "all_sms").where("text IS NOT NULL").select("id", X.other_category(F.col("text")).alias("cat"))
@@ -344,14 +365,14 @@ def flt6(spark, d):
     return bank_messages(spark, d).where(X.false_positive(F.col("text"))).select("id")
 
 
-@register("fn8_iso_time", "SELECT id, try_cast(date AS TIMESTAMP) AS at FROM all_sms WHERE regexp_matches(date, '^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9:]{8}\\.[0-9]{6}$')")
+@register("fn8_iso_time", "SELECT id, CASE WHEN regexp_matches(date, '^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}:[0-9]{2}(?:\\.[0-9]{1,6})?$') THEN try_cast(date AS TIMESTAMP) END AS at FROM all_sms")
 def fn8(spark, d):
-    return table(spark, d, "all_sms").where(F.col("date").rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9:]{8}\.[0-9]{6}$")).select("id", I.iso_time(F.col("date")).alias("at"))
+    return table(spark, d, "all_sms").select("id", I.iso_time(F.col("date")).alias("at"))
 
 
-@register("fn9_epoch_seconds", "SELECT id, make_timestamp(date::BIGINT * 1000000) AS at FROM all_sms WHERE regexp_matches(date, '^[0-9]{10}$')")
+@register("fn9_epoch_seconds", "SELECT id, CASE WHEN regexp_matches(date, '^[0-9]{1,12}(?:\\.[0-9]+)?$') AND date::DOUBLE < 253402300800 THEN make_timestamp((date::DOUBLE * 1000000)::BIGINT) END AS at FROM all_sms")
 def fn9(spark, d):
-    return table(spark, d, "all_sms").where(F.col("date").rlike("^[0-9]{10}$")).select("id", I.epoch_seconds(F.col("date")).alias("at"))
+    return table(spark, d, "all_sms").select("id", I.epoch_seconds(F.col("date")).alias("at"))
 
 
 _ELL = "chr(8230)"
@@ -408,13 +429,31 @@ def win4(spark, d):
     return G.stratified(pool, G.targets(spark, P.OTHER_TARGETS)).select("id", "year", "cat")
 
 
-@register("set1_expanded_gold")
+def _drawn(txn: bool) -> str:
+    """The draw of new gold rows of one kind, as SQL over the bank messages."""
+    cat = _cases(P.TRANSACTION_CATEGORIES, True) if txn else _cases(P.OTHER_CATEGORIES, False)
+    kept = f"s5_not_collect AND NOT {has('text', P.FALSE_POSITIVE)}" if txn else "NOT s5_not_collect"
+    wanted = " UNION ALL ".join(f"SELECT {y} AS year, '{c}' AS cat, {n} AS n" for y, cs in (P.TRANSACTION_TARGETS if txn else P.OTHER_TARGETS).items() for c, n in cs.items())
+    pool = f"SELECT id, text, sender, {_YEAR} AS year, {cat} AS cat FROM {_funnel(BANK_SQL)} AS x WHERE text IS NOT NULL AND {kept} AND substr(text, 1, 80) NOT IN (SELECT substr(sms, 1, 80) FROM gold WHERE sms IS NOT NULL)"
+    return f"(SELECT p.id, p.text, p.sender FROM ({pool}) AS p JOIN ({wanted}) AS t ON p.year = t.year AND p.cat = t.cat QUALIFY row_number() OVER (PARTITION BY p.year, p.cat ORDER BY md5('42' || p.text || p.id::VARCHAR)) <= t.n)"
+
+
+@register(
+    "set1_expanded_gold",
+    f"SELECT text AS sms, coalesce(sender, 'nan') AS sender, true AS is_txn, {', '.join(_FIELDS)} FROM {_drawn(True)} AS d JOIN ({_extract_sql()}) AS e ON d.id = e.id "
+    f"UNION ALL SELECT text, coalesce(sender, 'nan'), false, NULL, NULL, NULL, NULL, NULL FROM {_drawn(False)} AS d",
+)
 def set1(spark, d):
-    """FLT6, FLT7, JOIN3, WIN4, FN1, SET1 and SHF1 together, on the bank messages."""
-    return G.expanded(bank_messages(spark, d), table(spark, d, "gold"))
+    """FLT6, FLT7, JOIN3, WIN4, FN1, SET1 and SHF1 together, on the bank messages; the expected answers read again."""
+    new = G.expanded(bank_messages(spark, d), table(spark, d, "gold"))
+    return new.select("sms", "sender", "is_txn", F.from_json("expected", X.RECORD.removeprefix("struct<").removesuffix(">").replace(":", " ")).alias("x")).select("sms", "sender", "is_txn", *(f"x.{f}" for f in _FIELDS))
 
 
-@register("agg16_totals")
+@register(
+    "agg16_totals",
+    f"SELECT 'transaction' AS kind, count(e.id)::BIGINT AS selected, (count(*) - count(e.id))::BIGINT AS failed FROM {_drawn(True)} AS d LEFT JOIN ({_extract_sql()}) AS e ON d.id = e.id HAVING count(*) > 0 "
+    f"UNION ALL SELECT 'other', count(*)::BIGINT, 0::BIGINT FROM {_drawn(False)} AS d HAVING count(*) > 0",
+)
 def agg16(spark, d):
     """How many new gold rows of either kind there are, and how many drawn transactions no extractor reads."""
     pool = G.not_in_gold(G.candidates(bank_messages(spark, d)), table(spark, d, "gold"))

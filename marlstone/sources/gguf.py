@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import glob
 import struct
 from collections.abc import Iterator
 from io import BytesIO
@@ -13,6 +12,8 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from marlstone.sources.paths import found, opened
+
 # Fixed values of the format: magic, versions, and the sizes of scalar value types by their number.
 MAGIC, VERSIONS = b"GGUF", (2, 3)
 SIZES = {0: 1, 1: 1, 2: 2, 3: 2, 4: 4, 5: 4, 6: 4, 7: 1, 10: 8, 11: 8, 12: 8}
@@ -69,13 +70,14 @@ class File(InputPartition):
 
 class GgufReader(DataSourceReader):
     def __init__(self, options):
-        self.path = options["path"].removeprefix("file://")
+        self.path = options["path"]
 
     def partitions(self) -> list[File]:
-        return [File(p) for p in sorted(glob.glob(self.path, recursive=True))]
+        return [File(p) for p in found(self.path)]
 
     def read(self, partition: File) -> Iterator[tuple]:
-        with open(partition.value, "rb") as f:
+        system, at = opened(partition.value)
+        with system.open_input_file(at) as f:
             yield partition.value, context_length(f)
 
 

@@ -1,5 +1,7 @@
 """Runs, quality checks and the gold set."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from marlstone.operators import goldset as G
@@ -63,6 +65,22 @@ def test_gaps(spark):
     assert [tuple(r) for r in Q.missing_ids(text).collect()] == [(2,)]
 
 
+def test_gaps_of_sparse_ids(spark):
+    """Ids spread over all 64 bits: ranges hold about as many each, and no gap is lost between them."""
+    rng = random.Random(1)
+    ids = sorted({rng.randrange(-(2**63), 2**63) for _ in range(2000)} | {5, 6, 7, 9})
+    df = spark.createDataFrame([(i,) for i in ids], "id bigint")
+    want = [(a + 1, b - 1, b - a - 1) for a, b in zip(ids, ids[1:]) if b != a + 1]
+    assert sorted((r["gap_start"], r["gap_end"], r["missing"]) for r in Q.id_gaps(df).collect()) == want
+    both = spark.createDataFrame([(-(2**63),), (2**63 - 1,)], "id bigint")
+    assert [tuple(r) for r in Q.id_gaps(both).collect()] == [(-(2**63) + 1, 2**63 - 2, None)]
+
+
+def test_tally(spark):
+    v = spark.createDataFrame([("b", False), ("a", False), ("c", True)], "variant string, ok boolean")
+    assert tuple(R.tally(v).first()) == (1, 2, "a,b") and tuple(R.tally(v.limit(0)).first()) == (0, 0, "")
+
+
 def test_stratified_draws(spark):
     rows = [(k, f"text {k % 50}", 2025 if k % 2 else 2026, "big" if k % 3 else "small") for k in range(600)] + [(9999, None, 2025, "small")]
     pool = spark.createDataFrame(rows, "id bigint, text string, year int, cat string").selectExpr("*", "1 AS seed")

@@ -10,6 +10,7 @@ from marlstone.operators.predict import RulePredictor, TwoPhase, predicted, prom
 from marlstone.plans.connectors import _header
 from marlstone.session import bounded_broadcast, scratch
 from marlstone.sources import files, gguf, sqlite
+from marlstone.sources.paths import found
 from marlstone.sources.report import html
 from marlstone.streaming import funnel as stream
 
@@ -57,6 +58,41 @@ def test_sqlite_in_ranges(spark, tmp_path):
     assert read("t", 4).rdd.getNumPartitions() == 4 and read("e", 3).count() == 0
 
 
+def test_sqlite_query_over_a_folder(spark, tmp_path):
+    """Join, CASE and filter run in SQLite, in ranges of each file of a folder."""
+    for part in range(3):
+        con = sqlite3.connect(tmp_path / f"p{part}.db")
+        con.execute("CREATE TABLE handle (rowid INTEGER, id TEXT)")
+        con.execute("CREATE TABLE message (rowid INTEGER, date INTEGER, handle_id INTEGER, is_from_me INTEGER)")
+        con.execute("INSERT INTO handle VALUES (7, 'VM-X')")
+        con.executemany("INSERT INTO message VALUES (?, ?, ?, ?)", [(part * 100 + k, k % 4, 7 if k % 3 else None, k % 2) for k in range(40)])
+        con.commit()
+    query = "SELECT m.rowid AS id, CASE WHEN m.is_from_me = 1 THEN 'me' ELSE h.id END AS sender, m._rowid_ AS k FROM message m LEFT JOIN handle h ON m.handle_id = h.rowid WHERE m.date > 0"
+    sqlite.register(spark)
+    for path in (str(tmp_path), f"file://{tmp_path}/*.db"):
+        df = spark.read.format("sqlite").schema("id bigint, sender string").options(path=path, query=query, key="k", partitions="2").load()
+        want = [(p * 100 + k, "me" if k % 2 else "VM-X" if k % 3 else None) for p in range(3) for k in range(40) if k % 4]
+        assert sorted((tuple(r) for r in df.collect()), key=lambda x: x[0]) == want and df.rdd.getNumPartitions() == 6
+
+
+def test_finding_files(tmp_path):
+    (tmp_path / "a/b").mkdir(parents=True)
+    for name in ("x.gguf", "a/y.gguf", "a/b/z.gguf", "a/b/n.txt"):
+        (tmp_path / name).write_bytes(b"")
+    at = str(tmp_path)
+    assert found(f"{at}/x.gguf") == [f"{at}/x.gguf"] and found(f"{at}/none") == [] and found(f"{at}/none/*") == []
+    assert found(f"{at}/**/*.gguf") == sorted(f"{at}/{n}" for n in ("x.gguf", "a/y.gguf", "a/b/z.gguf"))
+    assert len(found(at)) == 4 and found(f"file://{at}/a/b/*.txt") == [f"file://{at}/a/b/n.txt"]
+
+
+def test_times(spark):
+    rows = ["2024-01-02T03:04:05", "2024-01-02 03:04:05.123456", "2024-13-02T03:04:05", "2024-01-02", "1704164645", "1704164645.5", "99999999999999999999", "x", "", None]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(rows)], "k int, t string")
+    got = {r["k"]: (r["iso"] and str(r["iso"]), r["epoch"] and str(r["epoch"])) for r in df.select("k", I.iso_time(F.col("t")).alias("iso"), I.epoch_seconds(F.col("t")).alias("epoch")).collect()}
+    none = (None, None)
+    assert got == dict(enumerate([("2024-01-02 03:04:05", None), ("2024-01-02 03:04:05.123456", None), none, none, (None, "2024-01-02 03:04:05"), (None, "2024-01-02 03:04:05.500000"), none, none, none, none]))
+
+
 def test_gguf_headers(spark, tmp_path):
     assert gguf.context_length(BytesIO(_header(4096))) == 4096
     for bad in (b"", b"GGUF", b"XXXX" + _header(1)[4:], _header(1)[:-2], b"GGUF" + struct.pack("<I", 9) + _header(1)[8:]):
