@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.session import require, written
+from marlstone.session import parallelism, require, written
 
 #: Pieces that one shard packs.
 SHARD_PIECES = 25_000
@@ -93,11 +93,13 @@ def packed(documents: DataFrame, windows: DataFrame, shard_pieces: int = SHARD_P
     # Full pieces are windows of their own; no choice is left for them.
     whole = todo.where("size = n_ctx").withColumn("bin", F.concat_ws("-", F.lit("full"), "doc_id", "piece"))
     todo, done = todo.where("size < n_ctx"), whole.select(*cols, "bin")
-    shards = max(1, -(-todo.count() // shard_pieces))
+    shards, capacities = max(1, -(-todo.count() // shard_pieces)), max(1, todo.select("window_id").distinct().count())
     while True:
         salted = todo.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", F.lit(level)), F.lit(shards)).cast("long"))
         kind = dict(todo.dtypes)["doc_id"]
-        out = salted.groupBy("window_id", "shard").applyInPandas(_packed, f"window_id bigint, n_ctx bigint, doc_id {kind}, piece bigint, n_pieces bigint, size bigint, shard bigint, bin bigint, gap bigint")
+        # Groups are few and heavy: as many tasks as groups, however small they are in bytes.
+        spread = salted.repartition(min(shards * capacities, parallelism(todo.sparkSession)), "window_id", "shard")
+        out = spread.groupBy("window_id", "shard").applyInPandas(_packed, f"window_id bigint, n_ctx bigint, doc_id {kind}, piece bigint, n_pieces bigint, size bigint, shard bigint, bin bigint, gap bigint")
         out = written(out, f"pack-{level + 1}")
         named = out.withColumn("bin", F.concat_ws("-", F.lit(level), "shard", "bin"))
         if shards == 1:
@@ -105,7 +107,8 @@ def packed(documents: DataFrame, windows: DataFrame, shard_pieces: int = SHARD_P
         closed = F.col("gap") <= F.col("n_ctx") * WASTE
         done = done.unionByName(named.where(closed).select(*cols, "bin"))
         todo, level = out.where(~closed).select(*cols), level + 1
-        shards = min(shards - 1, max(1, -(-todo.count() // shard_pieces)))
+        # At most half as many each time: as many rounds as the number of shards has bits.
+        shards = min(shards // 2, max(1, -(-todo.count() // shard_pieces)))
 
 
 def fill(assigned: DataFrame, windows: DataFrame) -> DataFrame:
