@@ -78,9 +78,19 @@ def ends_whole(text: str) -> bool | None:
     return None
 
 
-def _closings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def ending(text: str) -> tuple[bool | None, str | None, bool, str | None]:
+    """What is judged of a text's end: ``ends_whole``, and where that leaves it open the closing, whether dots end it, and its last line."""
+    known = ends_whole(text)
+    if known is not None:
+        return known, None, False, None
+    line = text.rstrip().rsplit("\n", 1)
+    return None, closing(text), text.rstrip().endswith(("...", "…")), line[1] if len(line) > 1 else None
+
+
+def _endings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        yield pd.DataFrame({"closing": [closing(t) for t in b["text"] if ends_whole(t) is None]}, dtype=object)
+        out = [(i, *ending(t)) for i, t in zip(b["doc_id"], b["text"])]
+        yield pd.DataFrame([x for x in out if x[1] is not True], columns=["doc_id", "known", "closing", "dots", "line"], dtype=object)
 
 
 def _automaton(forms: list[str]) -> ahocorasick.Automaton:
@@ -110,14 +120,14 @@ def _occurrences(forms: list[str]):
     return run
 
 
-def terminality(rows: DataFrame) -> dict[str, float]:
-    """For each frequent closing, the part of its occurrences in all documents that end a text.
+def terminality(rows: DataFrame, endings: DataFrame) -> dict[str, float]:
+    """For each frequent closing of ``endings``, the part of its occurrences in all documents that end a text.
 
     At most 1 / ``FREQUENT`` closings can be that frequent, whatever the number of documents.
     """
     total = rows.count()
     least = max(3, math.ceil(FREQUENT * total))
-    counted = rows.mapInPandas(_closings, "closing string").groupBy("closing").count().where((F.col("count") >= least) & (F.trim("closing") != ""))
+    counted = endings.where("known IS NULL").groupBy("closing").count().where((F.col("count") >= least) & (F.trim("closing") != ""))
     forms = sorted(r["closing"] for r in counted.collect())
     if not forms:
         return {}
@@ -127,18 +137,19 @@ def terminality(rows: DataFrame) -> dict[str, float]:
 
 def whole(text: str, closings: dict[str, float]) -> bool:
     """Whether ``text`` ends as texts end."""
-    known = ends_whole(text)
+    return judged(*ending(text), closings)
+
+
+def judged(known: bool | None, form: str | None, dots: bool, line: str | None, closings: dict[str, float]) -> bool:
+    """Whether an ``ending`` is one of those that end texts."""
     if known is not None:
         return known
-    form = closing(text)
-    dots = text.rstrip().endswith(("...", "…"))
     if form in closings and (not dots or len(form.split()) > 1):
         return closings[form] >= TERMINAL
     if dots:
         return False
-    last = text.rstrip().rsplit("\n", 1)
     # A closing too rare to count: only if it looks like one and no frequent closing begins with it.
-    return len(last) > 1 and bool(_SIGNED.match(last[1])) and not any(f.startswith(form) and len(f) > len(form) for f in closings)
+    return line is not None and bool(_SIGNED.match(line)) and not any(f.startswith(form) and len(f) > len(form) for f in closings)
 
 
 # ---- near-copies -----------------------------------------------------------------------------------------------------
@@ -332,7 +343,7 @@ def cut(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Null and blank texts aren't cut. Exact copies of a cut text are cut too: texts are compared as classes, then every
     member gets its class's answer. A tie in size goes by id; extra columns are ignored.
     """
-    docs = require(documents, id_col, text_col).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.trim("text") != "")
+    docs = require(documents, id_col, text_col).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.col("text").rlike(r"(?U)\S"))
     kind = dict(docs.dtypes)["doc_id"]
     member = docs.select("doc_id", F.md5("text").alias("h"), F.xxhash64("text").alias("x"))
     first = written(member.groupBy("h", "x").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "text-classes")
@@ -340,13 +351,16 @@ def cut(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     early = ended_early(classes)
     # From class representatives back to every member of their class.
     by_copy = written(first.join(early.withColumnRenamed("doc_id", "rep"), "rep", "left_semi").join(member, ["h", "x"]).select("doc_id"), "ended-early")
-    closings = terminality(docs.select("text"))
+    # Texts are read for their endings once; whole ones are done with.
+    endings = written(docs.mapInPandas(_endings, f"doc_id {kind}, known boolean, closing string, dots boolean, line string"), "endings")
+    closings = terminality(docs.select("text"), endings)
 
-    def judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": [i for i, t in zip(batch["doc_id"], batch["text"]) if not whole(t, closings)]}, dtype=object)
+    def cut_ones(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            ends = zip(b["doc_id"], b["known"], b["closing"], b["dots"], b["line"])
+            yield pd.DataFrame({"doc_id": [i for i, known, *rest in ends if not judged(None if pd.isna(known) else bool(known), *rest, closings)]}, dtype=object)
 
-    rest = docs.join(by_copy, "doc_id", "left_anti").mapInPandas(judged, f"doc_id {kind}")
+    rest = endings.join(by_copy, "doc_id", "left_anti").mapInPandas(cut_ones, f"doc_id {kind}")
     return by_copy.withColumn("how", F.lit("copy")).unionByName(rest.withColumn("how", F.lit("closing")))
 
 
