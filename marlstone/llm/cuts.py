@@ -224,15 +224,16 @@ def beginnings(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each band of each beginning; ``own`` for those of the longest, in which a text is looked for."""
     for b in batches:
-        ids, keys, own = [], [np.zeros(0, np.uint64)], [np.zeros(0, bool)]
+        ids, grades, keys, own = [], [np.zeros(0, int)], [np.zeros(0, np.uint64)], [np.zeros(0, bool)]
         for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
             words = words_of(t)
             if len(runs := shingles(words)):
                 grade, key = beginnings(runs)
                 ids += [i] * len(key)
+                grades.append(grade)
                 keys.append(key)
                 own.append((grade == grade[-1]) & looked_for(t, words))
-        yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, b.schema.field("doc_id").type), "bucket": pa.array(np.concatenate(keys).astype(np.int64)), "own": pa.array(np.concatenate(own))})
+        yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, b.schema.field("doc_id").type), "grade": pa.array(np.concatenate(grades).astype(np.int8)), "bucket": pa.array(np.concatenate(keys).astype(np.int64)), "own": pa.array(np.concatenate(own))})
 
 
 def going_on(a: list[str], b: list[str]) -> Iterator[int]:
@@ -276,12 +277,18 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, t in zip(b.column("doc_id"), b.column("text").to_pylist()):
             w = words_of(t)
             hashes, n, full = _word_hashes(w), len(w), 2 * SHINGLE
-            tails, runs, after, more = [], [], [], []
+            tails, runs, after, more, so_far = [], [], [], [], []
             if n > SHINGLE:
                 width = min(full, n - 1)
                 tails.append(int(_run_hashes(hashes[n - 1 - width : n - 1], width)[0]))
                 after.append(w[-1])
                 more.append(False)
+                so_far.append(0)
+            # How many different shingles end up to each word.
+            fives = _run_hashes(hashes, SHINGLE)
+            new = np.zeros(n + 1, int)
+            new[np.unique(fives, return_index=True)[1] + SHINGLE] = 1
+            different = np.cumsum(new).tolist()
             # A text of up to ten words has a shorter tail; it runs along the first words of its near-copies.
             for width in range(SHINGLE, full + 1):
                 for k, h in enumerate(_run_hashes(hashes[: n if width == full else 2 * full], width).tolist()):
@@ -289,10 +296,11 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         runs.append(h)
                         after.append(w[k + width])
                         more.append(k + width + 1 < n)
+                        so_far.append(different[k + width])
             total = len(tails) + len(runs)
             yield pa.RecordBatch.from_pydict({
                 "doc_id": pa.array([i.as_py()] * total, b.schema.field("doc_id").type), "tail": pa.array([True] * len(tails) + [False] * len(runs), pa.bool_()),
-                "run": pa.array(np.array(tails + runs, np.uint64).astype(np.int64)), "word": pa.array(after, pa.string()), "more": pa.array(more, pa.bool_()),
+                "run": pa.array(np.array(tails + runs, np.uint64).astype(np.int64)), "word": pa.array(after, pa.string()), "more": pa.array(more, pa.bool_()), "so_far": pa.array(so_far, pa.int32()),
             })
 
 
@@ -306,20 +314,25 @@ def ended_early(classes: DataFrame) -> DataFrame:
     each time, by the texts still without one, until they have it or all parts are through.
     """
     kind = dict(classes.dtypes)["doc_id"]
-    bands = written(classes.select("doc_id", "text").mapInArrow(_banded, f"doc_id {kind}, bucket bigint, own boolean"), "bands")
-    # Buckets that some text is looked for in and that hold another one.
-    met = bands.groupBy("bucket").agg(F.bool_or("own").alias("own"), F.count("*").alias("n")).where("own AND n > 1")
-    buckets = written(bands.join(bounded_broadcast(written(met.select("bucket"), "met")), "bucket", "left_semi"), "buckets")
+    bands = written(classes.select("doc_id", "text").mapInArrow(_banded, f"doc_id {kind}, grade tinyint, bucket bigint, own boolean"), "bands")
+    # Buckets that some text is looked for in and that hold another one. Each goes by its least member: texts that share
+    # many buckets, as in a large family of near-copies, share few names.
+    met = bands.groupBy("bucket").agg(F.bool_or("own").alias("own"), F.count("*").alias("n"), F.min("doc_id").alias("name")).where("own AND n > 1")
+    named = bands.join(bounded_broadcast(written(met.select("bucket", "name"), "met")), "bucket")
+    buckets = written(named.groupBy("doc_id", "grade", "name").agg(F.bool_or("own").alias("own")), "buckets")
     shared = bounded_broadcast(written(buckets.select("doc_id").distinct(), "near-copies"))
     texts = written(classes.select("doc_id", "text").join(shared, "doc_id", "left_semi"), "near-texts")
-    runs = written(texts.mapInArrow(_runs, f"doc_id {kind}, tail boolean, run bigint, word string, more boolean"), "runs")
+    runs = written(texts.mapInArrow(_runs, f"doc_id {kind}, tail boolean, run bigint, word string, more boolean, so_far int"), "runs")
     tails = runs.where("tail").select("doc_id", "run", F.col("word").alias("last"))
     # A tail's last word may be cut itself: the word behind the run has to begin with it, and something has to follow.
     asked = tails.select("run", F.length("last").alias("n")).distinct()
     on = runs.where("NOT tail").join(asked, "run").where("n < length(word) OR n = length(word) AND more")
-    on = on.select(F.col("doc_id").alias("other"), "run", F.substring("word", F.lit(1), F.col("n")).alias("last")).distinct()
-    at = F.xxhash64("bucket", "run", "last").alias("at")
-    goes = on.join(buckets.select(F.col("doc_id").alias("other"), "bucket"), "other").select(at, "other")
+    on = on.select(F.col("doc_id").alias("other"), "run", F.substring("word", F.lit(1), F.col("n")).alias("last"), "so_far").distinct()
+    at = F.xxhash64("grade", "name", "run", "last").alias("at")
+    # Where a text of a grade can end in a text that is similar up to there.
+    size = F.pow(F.lit(2.0), F.col("grade"))
+    within = (F.col("so_far") >= SIMILARITY * (size - 1)) & (F.col("so_far") <= 2 * size / SIMILARITY)
+    goes = on.join(buckets.select(F.col("doc_id").alias("other"), "grade", "name"), "other").where(within).select(at, "other").distinct()
     # Parts are powers of two, so that texts are in the same part of all buckets of like size.
     parts = written(goes.groupBy("at").agg(F.pow(F.lit(2), F.ceil(F.log2(F.count("*").cast("double")))).cast("bigint").alias("parts")), "going-on-parts")
     goes = written(goes.join(parts, "at").withColumn("part", F.pmod(F.xxhash64("other"), "parts")), "going-on")

@@ -107,3 +107,18 @@ def test_short_and_repeated_texts_are_met(spark):
 def test_stock_sentences_that_begin_longer_texts_are_no_copies():
     a = "Thank you for your order today. We will write to you soon."
     assert not ends_early(a, a + " Until then keep well.") and ends_early(a[:-3], a + " Until then keep well.")
+
+
+def test_a_third_of_all_texts_in_one_family(spark):
+    """Copies of one original cut anywhere, each edited a little: every one but the longest is found, and in little time."""
+    rng = random.Random(11)
+    base = text(rng, 400).replace(".", "").split()
+    rows = []
+    for k in range(1500):
+        words = base[: rng.randint(70, 380)]
+        words[rng.randrange(len(words) - 12)] = f"edit{k}"
+        rows.append((k, " ".join(words) + "."))
+    rows.append((5000, " ".join(base) + "."))
+    rows += [(10_000 + k, text(rng, 80) + " that is all.") for k in range(3000)]
+    got = {r["doc_id"] for r in cut(spark.createDataFrame(rows, "doc_id bigint, text string")).where("how = 'copy'").collect()}
+    assert len(got & set(range(1500))) >= 0.99 * 1500 and got <= set(range(1500))
