@@ -83,20 +83,22 @@ def test_dictionary_only_grows(spark):
 
 
 def test_dictionary_is_kept_between_calls(spark, monkeypatch):
-    """A second, larger input through the shared dictionary: only values that the first lacked are parsed."""
+    """A second, larger input through one dictionary: only values that the first lacked are parsed."""
     from marlstone.operators import instants as module
 
     rows = [(k, f"2024-01-{k % 28 + 1:02d} 10:{k % 60:02d}:00", f"seen 4 Mai 2024 11:{k % 60:02d}", "f") for k in range(200)]
     m = spark.createDataFrame(rows, "id bigint, date string, text string, fileid string")
     b = spark.createDataFrame([("f", "Asia/Tokyo", "ja_JP")], "fileid string, tz string, locale string")
-    small, counts = instants(m.where("id < 50"), b).count(), []
-    book = InstantDictionary(spark)
+    path = scratch(spark, "kept")
+    small, counts = instants(m.where("id < 50"), b, path).count(), []
+    book = InstantDictionary(spark, path)
     before = book.table().where("zone = 'Asia/Tokyo'").count()
     parse = module._parsed
     monkeypatch.setattr(InstantDictionary, "update", lambda self, x, was=InstantDictionary.update: (was(self, x), counts.append(self.table().where("zone = 'Asia/Tokyo'").count()))[0])
-    assert instants(m, b).count() == 400 and small == 100 and parse is module._parsed
+    assert instants(m, b, path).count() == 400 and small == 100 and parse is module._parsed
     distinct = len({r[1] for r in rows}) + len({r[2][5:] for r in rows})
     assert counts == [distinct] and before < distinct
+    assert InstantDictionary(spark).path == InstantDictionary(spark).path != path  # by itself it is in the shared folder
     # No value was parsed twice.
     assert spark.read.parquet(book.path).where("zone = 'Asia/Tokyo'").count() == distinct
 
