@@ -57,6 +57,17 @@ EXTRACTORS = [
     ("sbi_debit", rf"(A/c\s*X\d+)-debited\s+by\s+Rs\.?{_AMT}\s+on\s+(\S+)\s+transfer\s+to\s+(.+?)\s+Ref", "debit", (2, 1, 4, 3)),
 ]
 
+# ---- shapes of dates that are read; digits are those of any script, months are named in ``MONTHS``
+DATE_SHAPES = {
+    "iso": r"^(\d{4})-(\d{2})-(\d{2})",
+    "slash": r"^(\d{1,2})/(\d{2})/(\d{2})$",
+    "named": r"^(\d{1,2})/([A-Za-z]{3})/(\d{4})",
+    "dashed": r"^(\d{1,2})-([A-Za-z]{3})-(\d{2,4})",
+    "joined": r"^(\d{1,2})([A-Za-z]{3})(\d{2})$",
+    "short": r"^(\d{2})-(\d{2})-(\d{2})$",
+}
+MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+
 # ---- categories: the first pattern that matches names the category; the first list reads across lines
 TRANSACTION_CATEGORIES = [
     ("hdfc_sent", r"Sent\s+Rs"),

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.functions import patterns as P
-from marlstone.functions.text import collapse, strip
+from marlstone.functions.text import collapse, let, strip
 
 FIELDS = ("amount", "counterparty", "type", "account")
 _SCALAR = r'(?s)^(?:-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|NaN|-?Infinity|"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*")$'
@@ -30,19 +30,19 @@ def without_thinking(response: Column) -> Column:
 
 def extract_json(response: Column) -> Column:
     """``null`` if the answer begins so, else its first braces up to the first closing one, else all of it."""
-    r = without_thinking(response)
-    braces = F.regexp_extract(r, r"(?s)\{.*?\}", 0)
-    return F.when(F.startswith(F.lower(r), F.lit("null")), "null").when(braces != "", braces).otherwise(r)
+    return let(without_thinking(response), lambda r: let(F.regexp_extract(r, r"(?s)\{.*?\}", 0), lambda braces: F.when(F.startswith(F.lower(r), F.lit("null")), "null").when(braces != "", braces).otherwise(r)))
 
 
 def extract_json_nonnull(response: Column) -> Column:
     """``extract_json``, and ``null`` for an object that lacks a required field."""
-    r = extract_json(response)
-    p = parsed(r)
-    missing = F.lit(False)
-    for f in P.REQUIRED_FIELDS:
-        missing = missing | nullish(p["v"][f])
-    return F.when((p["kind"] == "object") & missing, "null").otherwise(r)
+
+    def checked(r: Column, p: Column) -> Column:
+        missing = F.lit(False)
+        for f in P.REQUIRED_FIELDS:
+            missing = missing | nullish(p["v"][f])
+        return F.when((p["kind"] == "object") & missing, "null").otherwise(r)
+
+    return let(extract_json(response), lambda r: let(parsed(r), lambda p: checked(r, p)))
 
 
 FILTERS: dict[str, Callable[[Column], Column]] = {"extract_json": extract_json, "extract_json_nonnull": extract_json_nonnull}
@@ -52,8 +52,12 @@ FILTERS: dict[str, Callable[[Column], Column]] = {"extract_json": extract_json,
 
 def parsed(text: Column) -> Column:
     """``struct<kind, v struct<amount, counterparty, type, account variant>>``; a null text is an error."""
-    t = strip(text)
-    v = F.from_json(t, "amount variant, counterparty variant, type variant, account variant, _c string", {"allowSingleQuotes": "false", "columnNameOfCorruptRecord": "_c"})
+    read = lambda t: F.from_json(t, "amount variant, counterparty variant, type variant, account variant, _c string", {"allowSingleQuotes": "false", "columnNameOfCorruptRecord": "_c"})
+    # Bound values: else each metric that names a field would parse the text again.
+    return let(strip(text), lambda t: let(read(t), lambda v: _kind_and_fields(t, v)))
+
+
+def _kind_and_fields(t: Column, v: Column) -> Column:
     is_object = v.isNotNull() & v["_c"].isNull() & t.startswith("{")
     is_other = t.rlike(_SCALAR) | (t.rlike(r"(?s)^\[.*\]$") & F.try_parse_json(t).isNotNull())
     kind = F.when(F.lower(t) == "null", "null").when(is_object, "object").when(is_other, "other").otherwise("error")

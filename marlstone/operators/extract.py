@@ -17,7 +17,7 @@ def amount(text: Column) -> Column:
 
 
 def _month(name: Column) -> Column:
-    months = F.create_map(*(F.lit(x) for k, m in enumerate(("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")) for x in (m, f"{k + 1:02d}")))
+    months = F.create_map(*(F.lit(x) for k, m in enumerate(P.MONTHS) for x in (m, f"{k + 1:02d}")))
     return F.try_element_at(months, F.lower(name))
 
 
@@ -33,8 +33,7 @@ def _day_month_year(raw: Column) -> Column:
     g = lambda p, k: F.regexp_extract(raw, f"(?U){p}", k)
     day = lambda p, k: F.lpad(g(p, k), 2, "0")
     hit = lambda p: raw.rlike(f"(?U){p}")
-    iso, slash = r"^(\d{4})-(\d{2})-(\d{2})", r"^(\d{1,2})/(\d{2})/(\d{2})$"
-    named, dashed, joined, short = r"^(\d{1,2})/([A-Za-z]{3})/(\d{4})", r"^(\d{1,2})-([A-Za-z]{3})-(\d{2,4})", r"^(\d{1,2})([A-Za-z]{3})(\d{2})$", r"^(\d{2})-(\d{2})-(\d{2})$"
+    iso, slash, named, dashed, joined, short = P.DATE_SHAPES.values()
     year = F.when(F.length(g(dashed, 3)) == 4, g(dashed, 3)).otherwise(F.concat(F.lit("20"), g(dashed, 3)))
     out = (
         F.when(hit(iso), F.concat_ws("-", g(iso, 3), g(iso, 2), g(iso, 1)))

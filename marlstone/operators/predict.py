@@ -61,13 +61,17 @@ class TwoPhase:
 
 
 class RulePredictor:
-    """A predictor without weights: amount, direction, account and counterparty by plain cues."""
+    """A predictor without weights: amount, direction, account and counterparty by plain cues.
 
-    _AMOUNT = re.compile(r"(?i)(?:rs\.?|inr|₹)\s*([\d,]+(?:\.\d+)?)")
-    _ACCOUNT = re.compile(r"(?i)((?:a/c|(?:credit |debit )?card)(?: ending)?\s*[x*]*\d{3,})")
-    _OUT = re.compile(r"(?i)\b(?:debited|spent|sent|paid|withdrawn|purchase)\b")
-    _IN = re.compile(r"(?i)\b(?:credited|refunded|received|deposited)\b")
-    _WHO = re.compile(r"(?:toward|into|beside|shop|out of|at|to)\s+(?!A/[Cc])((?:[A-ZÀ-Þ&][\w'&À-ÿ]*\s?){1,4})")
+    The patterns are such that SQL reads them alike.
+    """
+
+    AMOUNT = r"(?i)(?:rs\.?|inr|₹)\s*([0-9,]+(?:\.[0-9]+)?)"
+    ACCOUNT = r"(?i)((?:a/c|(?:credit |debit )?card)(?: ending)?\s*[x*]*[0-9]{3,})"
+    OUT = r"(?i)\b(?:debited|spent|sent|paid|withdrawn|purchase)\b"
+    IN = r"(?i)\b(?:credited|refunded|received|deposited)\b"
+    WHO = r"(?:toward|into|beside|shop|out of|at|to)\s+([A-ZÀ-Þ&][0-9A-Za-z_'&À-ÿ]+\s?(?:[A-ZÀ-Þ&][0-9A-Za-z_'&À-ÿ]*\s?){0,3})"
+    _AMOUNT, _ACCOUNT, _OUT, _IN, _WHO = map(re.compile, (AMOUNT, ACCOUNT, OUT, IN, WHO))
 
     def __call__(self, prompt_: str) -> str:
         sms = prompt_.rpartition("Message: ")[2].removesuffix("\nAnswer:")

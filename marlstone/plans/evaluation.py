@@ -406,7 +406,17 @@ def fn21(spark, d):
     return table(spark, d, "gold").select("item_id", F.col("expected").alias("target"))
 
 
-@register("udf4_rule_predictor")
+_RULE = M.RulePredictor
+_FIRST = lambda p: f"length(regexp_extract(sms, {lit('(?is)^(.*?)' + p.removeprefix('(?i)'))}, 1))"
+_HAS = lambda p: f"regexp_matches(sms, {lit(p)})"
+_PREDICTED = (
+    f"CASE WHEN {_HAS(_RULE.AMOUNT)} AND {_HAS(_RULE.ACCOUNT)} AND ({_HAS(_RULE.OUT)} OR {_HAS(_RULE.IN)}) THEN json_object("
+    f"'amount', coalesce(try_cast(replace(regexp_extract(sms, {lit(_RULE.AMOUNT)}, 1), ',', '') AS DOUBLE), 0.0), 'counterparty', CASE WHEN {_HAS(_RULE.WHO)} THEN {strip(f'regexp_extract(sms, {lit(_RULE.WHO)}, 1)')} END, "
+    f"'type', CASE WHEN {_HAS(_RULE.IN)} AND (NOT {_HAS(_RULE.OUT)} OR {_FIRST(_RULE.IN)} < {_FIRST(_RULE.OUT)}) THEN 'credit' ELSE 'debit' END, 'account', regexp_extract(sms, {lit(_RULE.ACCOUNT)}, 1))::VARCHAR ELSE 'null' END"
+)
+
+
+@register("udf4_rule_predictor", f"WITH u AS MATERIALIZED (SELECT item_id AS doc_id, expected AS target, {_PREDICTED} AS prediction FROM gold WHERE sms IS NOT NULL), {_scored('u', 'doc_id')} SELECT * FROM m")
 def udf4(spark, d):
     """UDF4: a predictor behind the Arrow hook, scored as any model; it needs no weights."""
     g = table(spark, d, "gold").where("sms IS NOT NULL")

@@ -270,18 +270,15 @@ def fin1(spark, d):
 
 def sql_date(x: str) -> str:
     """The date shapes, as SQL over one text."""
-    month = "CASE lower({}) " + " ".join(f"WHEN '{m}' THEN '{k + 1:02d}'" for k, m in enumerate(("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"))) + " END"
+    month = "CASE lower({}) " + " ".join(f"WHEN '{m}' THEN '{k + 1:02d}'" for k, m in enumerate(P.MONTHS)) + " END"
     raw = f"regexp_replace({strip(x)}, '\\.+$', '')"
-    n = r"\p{Nd}"
-
     def g(p: str, k: int) -> str:
         return f"regexp_extract({raw}, '{p}', {k})"
 
     def day(p: str) -> str:
         return f"lpad({g(p, 1)}, 2, '0')"
 
-    iso, slash = f"^({n}{{4}})-({n}{{2}})-({n}{{2}})", f"^({n}{{1,2}})/({n}{{2}})/({n}{{2}})$"
-    named, dashed, joined, short = f"^({n}{{1,2}})/([A-Za-z]{{3}})/({n}{{4}})", f"^({n}{{1,2}})-([A-Za-z]{{3}})-({n}{{2,4}})", f"^({n}{{1,2}})([A-Za-z]{{3}})({n}{{2}})$", f"^({n}{{2}})-({n}{{2}})-({n}{{2}})$"
+    iso, slash, named, dashed, joined, short = (p.replace(r"\d", r"\p{Nd}") for p in P.DATE_SHAPES.values())
     year = f"CASE WHEN length({g(dashed, 3)}) = 4 THEN {g(dashed, 3)} ELSE '20' || {g(dashed, 3)} END"
     hit = lambda p: f"regexp_matches({raw}, '{p}')"
     return (
