@@ -1,8 +1,11 @@
 import json
+import re
+from collections import Counter
 
 import pytest
 
-from marlstone.llm.pairs import Answer, LabelModel, built_cases, defects, validated_cutoffs, votes
+from marlstone.llm import pairs
+from marlstone.llm.pairs import Answer, LabelModel, Languages, built_cases, defects, languages_of, trigrams, validated_cutoffs, votes
 
 SMS = "Lumora Bank notice lemon: sum Rs.83.81 debited at Credit Card XX2443 toward Quillstone Sports heron counter 98099, trace nectar indigo 40144 stays open"
 GOOD = '{"amount": 83.81, "counterparty": "Größe & Söhne", "type": "debit", "account": "Card XX2443"}'
@@ -81,3 +84,52 @@ def test_cutoffs_are_validated():
     models = {d: LabelModel({v: 1}) for d, v in votes(Answer(GOOD, SMS)).items()}
     cut = validated_cutoffs(models, built_cases([(SMS, GOOD)] * 30))
     assert set(cut) == {"empty", "truncated", "refusal", "copy", "other_language"} and all(0 < c < 1 for c in cut.values()) and len(set(cut.values())) > 1
+
+
+def test_languages_count_every_document(spark, monkeypatch):
+    """Far more documents than any draw would take, a word of its own in each, with their counts handed on in parts."""
+    own = lambda k: "".join(chr(97 + int(c)) for c in str(k))
+    texts = [(k, ["en", "DE"][k % 2], f"Größe-{own(k)} ΑΣ, {own(k)}2{own(k * 7)}\u00a0x") for k in range(3000)]
+    expected: dict[str, Counter] = {"en": Counter(), "de": Counter()}
+    for _, lang, text in texts:
+        expected[lang.lower()].update(trigrams(re.findall(r"[^\W\d_]+", text.lower())))
+    counts = {}
+    monkeypatch.setattr(pairs, "Languages", counts.update)
+    languages_of(spark.createDataFrame([*texts, (-1, "en", None), (-2, None, "none"), (-3, "sv", "other")], "doc_id bigint, lang string, text string").repartition(3))
+    assert counts == expected
+    monkeypatch.setattr(pairs, "HELD", 50)
+    parts = list(pairs._counted(iter([spark.createDataFrame(texts, "doc_id bigint, lang string, text string").selectExpr("lower(lang) AS lang", "text").toPandas()])))
+    total = {k: Counter() for k in expected}
+    for part in parts:
+        for lang, gram, n in part.itertuples(index=False):
+            total[lang][gram] += n
+    assert total == expected and len(parts) > 10
+
+
+def test_likelihoods_do_not_sink_with_more_documents():
+    """A text with words that no document holds is as strange to a thousand times the documents."""
+    text = "This is a perfectly ordinary sentence about the customer and the transaction that was made at Quixwyzzle Vjornqek.".lower().split()
+    counts = {"en": Counter(trigrams(("this is a perfectly ordinary sentence about customer and the transaction that was made at " * 8000).split())), "de": Counter(trigrams(("dies ist ein gewöhnlicher satz " * 30000).split()))}
+    few, many = (Languages({k: {g: n * times for g, n in c.items()} for k, c in counts.items()}).likely(text) for times in (1, 1000))
+    assert few == pytest.approx(many, abs=0.01)
+
+
+def test_every_item_validates(spark):
+    """Cases come from every item of an unsorted evaluation set, each by its place in the order of ids."""
+    items = [(k * 3, SMS.replace("83.81", str(k)), GOOD.replace("83.81", str(k)) if k % 2 else "null") for k in range(1500)]
+    gold = spark.createDataFrame([*items[700:], (1, None, GOOD), (2, SMS, None), *items[:700]], "item_id bigint, sms string, expected string").repartition(5)
+    judged = pairs.judged_items(gold, Languages({}))
+    assert judged == pairs.judged_cases(built_cases([(sms, expected) for _, sms, expected in items]))
+
+
+def test_items_beyond_the_first_move_the_cutoff(spark, table):
+    """An apology that names the payment is no refusal where the later part of a long evaluation set has it."""
+    s, _ = table
+    answer = "Sorry, a debit of 5 at Wren Books."
+    rows = spark.createDataFrame([(60_000, {"sms": SMS, "sender": "x"}, GOOD, [[answer]], [answer])], s.drop("defect", "field").schema)
+    short = [(k, SMS.replace("83.81", str(k)), GOOD if k % 2 else "null") for k in range(400)]
+    found = []
+    for items in (short, short + [(k, SMS.replace("83.81", str(k)), answer) for k in range(400, 1000)]):
+        got = defects(s.drop("defect", "field").unionByName(rows), spark.createDataFrame(items, "item_id bigint, sms string, expected string"))
+        found.append({r["defect"] for r in got.where("sample_id = 60000").collect()})
+    assert found == [{"refusal"}, set()]
